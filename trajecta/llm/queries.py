@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajecta.llm.cap import stratified_cap
 from trajecta.llm.copies import bare, bare_lines, fold_copies
+from trajecta.llm.defects import broken_answers
 from trajecta.llm.identity import instance_key
 from trajecta.llm.overlap import overlaps
 from trajecta.llm.packing import pack
@@ -53,6 +54,12 @@ def p1_kept_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_cap(pairs, "pair_id", instance_key(F.col("instance_id")), quality, cap=CAP, stratum=F.col("pair_type"))
 
 
+@REG.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose last answer is defective, with the defect."""
+    return broken_answers(table(spark, sf_dir, "sft_samples"), "sample_id", "type", "messages")
+
+
 @REG.add("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair that repeats an earlier one but for its form, with the first of its group."""

@@ -13,6 +13,26 @@ from pyspark.sql import functions as F
 from trajecta.session import cut
 
 
+def contract(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(`node`, `root`): each node of the edges (a, b), a > b, that isn't its component's smallest, with the smallest.
+
+    Alternating large-star and small-star steps, each cut by a checkpoint, until the edges stay the same; about
+    log(n) rounds. A hub's edges are joined by its key, which AQE may split, never collected.
+    """
+    edges = cut(edges.select("a", "b").distinct())
+    for _ in range(max_rounds):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = cut(low.select("a", F.col("m").alias("b")).union(small).distinct())
+        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+            return after.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        edges = after
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
+
+
 def components(df: DataFrame, row_id: str, keys: Sequence[Column], max_rounds: int = 60) -> DataFrame:
     """(row_id, `component`): rows that share a value of any key, directly or through others, get one component.
 
@@ -20,8 +40,7 @@ def components(df: DataFrame, row_id: str, keys: Sequence[Column], max_rounds: i
     A row without any key is a component of its own, named `-|` and its row_id. Nulls link nothing.
 
     With one key the key is the component and nothing moves. With several, rows link their keys as stars, and the
-    labels of the distinct keys (not of the rows) contract by alternating large-star and small-star steps, each cut
-    by a checkpoint, until nothing changes; that takes about log(n) rounds.
+    distinct keys (not the rows) contract (`contract`).
     """
     tagged = [F.when(k.isNotNull(), F.concat(F.lit(f"{i}|"), k.cast("string"))) for i, k in enumerate(keys)]
     own = F.concat(F.lit("-|"), F.col(row_id).cast("string"))
@@ -35,18 +54,7 @@ def components(df: DataFrame, row_id: str, keys: Sequence[Column], max_rounds: i
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = cut(low.select("a", F.col("m").alias("b")).union(small).distinct())
-        # done when both hold the same edges
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            break
-        edges = after
-    names = edges.groupBy(F.col("a").alias("__first")).agg(F.min("b").alias("__name"))
+    names = contract(edges, max_rounds).select(F.col("node").alias("__first"), F.col("root").alias("__name"))
     out = rows.join(names, "__first", "left")
     return out.select(F.col("__id").alias(row_id), F.coalesce("__name", "__first", "__own").alias("component"))
 
