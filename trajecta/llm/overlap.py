@@ -119,6 +119,8 @@ def matches(index: FullTextIndex, texts: list[np.ndarray], train: np.ndarray) ->
     n = len(train)
     width = SLOT if n >= SHORT else SHORT_SLOT
     s = n // width
+    if not s:
+        return []
     coded = index.symbols(train[: s * width]).reshape(s, width)
     lo, hi = index.search(coded)
     _, text = index.owners(lo, hi)
@@ -133,9 +135,9 @@ def matches(index: FullTextIndex, texts: list[np.ndarray], train: np.ndarray) ->
 
 
 def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: int = 256, block: int = 4_096) -> DataFrame:
-    """(`train_print`, `eval_print`, `edits`, `words`) of near texts, with prints from `printed`.
+    """(`train_print`, `eval_print`, `edits`, `words`) of near texts.
 
-    train and evaluation hold distinct texts with key (the print) and text (word hashes, in order).
+    train and evaluation hold distinct texts with key (the print) and text (words with single blanks).
 
     A train text of n words may differ from an evaluation text in at most n // 9 words, so that of n // 9 + 1 disjoint
     slots one at least occurs there unchanged. Slots are joined with the evaluation grams' counts; only the rarest
@@ -144,27 +146,29 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
     through it, and its matches are verified (`matches`). Hot grams (stock phrases) are hardly ever among the rarest,
     and where they are, nothing is capped. A shard with many visitors is built in several tasks of `block` visitors.
     """
-    n = F.size(text)
-    width = F.when(n >= SHORT, SLOT).otherwise(SHORT_SLOT)
+    kind = dict(train.dtypes)[key]
+    none = F.array().cast("array<bigint>")
 
     def grams(starts: Column, w: Column | int) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(text, i.cast("int"), w)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("__said", i.cast("int"), w)))
 
     def every(w: int) -> Column:
-        return F.when(n >= w, grams(F.sequence(F.lit(1), n - (w - 1)), w)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= w, grams(F.sequence(F.lit(1), n - (w - 1)), w)).otherwise(none)
 
-    shards = F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.lit(-(-evaluation.count() // shard))))
+    n = F.size("__said")
+    shards = F.pmod(F.xxhash64(key), F.lit(max(1, -(-evaluation.count() // shard)))).cast("int")
     ev = evaluation.withColumn("__shard", shards)
-    posted = ev.select("__shard", F.explode(F.array_distinct(F.concat(every(SLOT), F.when(n < 2 * SHORT, every(SHORT_SLOT)).otherwise(F.array().cast("array<bigint>"))))).alias("__gram"))
-    posted = cut(posted.groupBy("__gram", "__shard").agg(F.count("*").alias("__n")))
-    counts = posted.groupBy("__gram").agg(F.sum("__n").alias("__n"))
-    need = F.expr(f"size({text}) div {TEN - 1} + 1")
-    slots = train.filter(n >= TEN - 1).select(key, need.alias("__need"), n.alias("__len"), width.alias("__w"), text)
-    slots = slots.select(key, "__need", F.floor(F.col("__len") / F.col("__w")).cast("int").alias("__slots"), F.explode(grams(F.sequence(F.lit(1), n - F.col("__w") + 1, F.col("__w")), F.col("__w"))).alias("__gram"))
-    known = slots.join(counts, "__gram").groupBy(key).agg(F.first("__need").alias("__need"), F.first("__slots").alias("__slots"), F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__known"))
-    missing = F.col("__slots") - F.size("__known")
-    led = known.withColumn("__open", F.col("__need") - missing).filter("__open > 0")
-    led = led.select(key, F.explode(F.slice("__known", F.lit(1), F.col("__open").cast("int"))).alias("__k")).select(key, F.col("__k.__gram").alias("__gram"))
+    told = ev.select("__shard", F.split(text, " ").alias("__said"))
+    posted = told.select("__shard", F.explode(F.array_distinct(F.concat(every(SLOT), F.when(n < 2 * SHORT, every(SHORT_SLOT)).otherwise(none)))).alias("__gram"))
+    posted = cut(posted.groupBy("__gram", "__shard").agg(F.count("*").cast("int").alias("__n")))
+    counts = posted.groupBy("__gram").agg(F.sum("__n").cast("int").alias("__n"))
+    heard = train.select(key, F.split(text, " ").alias("__said")).filter(n >= TEN - 1)
+    width = F.when(n >= SHORT, SLOT).otherwise(SHORT_SLOT)
+    slots = heard.select(key, n.alias("__len"), F.explode(grams(F.sequence(F.lit(1), n - width + 1, width), width)).alias("__gram"))
+    known = slots.join(counts, "__gram").groupBy(key).agg(F.first("__len").alias("__len"), F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__known"))
+    missing = F.floor(F.col("__len") / F.when(F.col("__len") >= SHORT, SLOT).otherwise(SHORT_SLOT)) - F.size("__known")
+    known = known.withColumn("__open", (F.floor(F.col("__len") / (TEN - 1)) + 1 - missing).cast("int")).filter("__open > 0")
+    led = known.select(key, F.explode(F.slice("__known", F.lit(1), F.col("__open"))).alias("__k")).select(key, F.col("__k.__gram").alias("__gram"))
     visits = cut(led.join(posted.select("__gram", "__shard"), "__gram").select(key, "__shard").distinct())
     crowd = visits.groupBy("__shard").agg(F.count("*").alias("__visits")).withColumn("__blocks", F.expr(f"cast((__visits - 1) div {block} + 1 as int)"))
     guests = visits.join(train, key).join(crowd, "__shard").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"))
@@ -172,24 +176,24 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
     guests, hosts = (x.select("__shard", "__block", F.col(key).alias("__key"), F.col(text).alias("__text")) for x in (guests, hosts))
 
     def stream(visitors: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows: list[tuple] = []
         if len(visitors) and len(texts):
-            held, names = [np.asarray(x, dtype=np.int64) for x in texts["__text"]], texts["__key"].tolist()
-            index = FullTextIndex(held)
-            for name, words in zip(visitors["__key"], visitors["__text"]):
-                for t, span, d in matches(index, held, np.asarray(words, dtype=np.int64)):
-                    if names[t] != name:
-                        rows.append((name, names[t], d, span))
+            number: dict[str, int] = {}
+            held = [np.array([number.setdefault(w, len(number) + 1) for w in x.split(" ")], dtype=np.int64) for x in texts["__text"]]
+            names, index = texts["__key"].tolist(), FullTextIndex(held)
+            for name, said in zip(visitors["__key"], visitors["__text"]):
+                words = np.array([number.get(w, -1) for w in said.split(" ")], dtype=np.int64)
+                rows += [(name, names[t], d, span) for t, span, d in matches(index, held, words) if names[t] != name]
         return pd.DataFrame(rows, columns=["train_print", "eval_print", "edits", "words"])
 
-    return guests.groupBy("__shard", "__block").cogroup(hosts.groupBy("__shard", "__block")).applyInPandas(stream, "train_print binary, eval_print binary, edits int, words int")
+    together = guests.groupBy("__shard", "__block").cogroup(hosts.groupBy("__shard", "__block"))
+    return together.applyInPandas(stream, f"train_print {kind}, eval_print {kind}, edits int, words int")
 
 
 def printed(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """*keep, `__print` (128 bits over the words) and `__words` (word hashes); texts without a word are left out."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    df = df.select(*keep, words.alias("__said")).filter(F.size("__said") > 0)
-    return df.select(*keep, F.unhex(F.md5(F.array_join("__said", " ").cast("binary"))).alias("__print"), F.transform("__said", lambda w: F.xxhash64(w)).alias("__words"))
+    """*keep, `__print` (128 bits over the words) and `__text` (words, single blanks); wordless texts are left out."""
+    df = df.select(*keep, F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")).alias("__text")).filter("__text <> ''")
+    return df.select(*keep, F.unhex(F.md5(F.col("__text").cast("binary"))).alias("__print"), "__text")
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame, text: str, train_keys: list[str], eval_keys: list[str]) -> DataFrame:
@@ -200,10 +204,10 @@ def overlaps(train: DataFrame, evaluation: DataFrame, text: str, train_keys: lis
     which AQE may split where a print is hot. Null texts and texts without a word overlap nothing. Repeated rows each
     count. Empty tables give no rows. Key columns of the two sides must differ in name.
     """
-    t, e = cut(printed(train, text, *train_keys)), cut(printed(evaluation, text, *eval_keys))
-    one = [x.groupBy("__print").agg(F.first("__words").alias("__words")) for x in (t, e)]
-    close = near(cut(one[0]), cut(one[1]), "__print", "__words").select("train_print", "eval_print", "edits")
-    same = e.select("__print").distinct().join(t.select("__print").distinct(), "__print").select(F.col("__print").alias("train_print"), F.col("__print").alias("eval_print"), F.lit(0).alias("edits"))
+    one = [cut(printed(x, text).groupBy("__print").agg(F.first("__text").alias("__text"))) for x in (train, evaluation)]
+    close = near(one[0], one[1], "__print", "__text").select("train_print", "eval_print", "edits")
+    same = one[0].select("__print").join(one[1].select("__print"), "__print").select(F.col("__print").alias("train_print"), F.col("__print").alias("eval_print"), F.lit(0).alias("edits"))
     links = cut(close.union(same))
-    rows = links.join(e.select(F.col("__print").alias("eval_print"), *eval_keys), "eval_print").join(t.select(F.col("__print").alias("train_print"), *train_keys), "train_print")
-    return rows.select(*eval_keys, *train_keys, "edits")
+    t = printed(train, text, *train_keys).select(F.col("__print").alias("train_print"), *train_keys)
+    e = printed(evaluation, text, *eval_keys).select(F.col("__print").alias("eval_print"), *eval_keys)
+    return links.join(e, "eval_print").join(t, "train_print").select(*eval_keys, *train_keys, "edits")
