@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.llm.abuse import score_documents
 from trajecta.llm.cap import stratified_cap
 from trajecta.llm.copies import bare, bare_lines, fold_copies
 from trajecta.llm.defects import broken_answers
@@ -160,3 +161,20 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("heldout_id", "record_kind").agg(
         F.count("*").alias("records"), F.max("longest").alias("longest"), F.max(F.round(F.col("covered") / F.col("words"), 6)).alias("coverage")
     )
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "review_labels"), "text", "category", ["source"])
+
+
+@REG.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexually explicit passage."""
+    return _scored(spark, sf_dir).filter(F.col("score") >= 0.5).select("doc_id")
+
+
+@REG.add("p9_rates")
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source its documents and the share of those with such a passage."""
+    hit = (F.col("score") >= 0.5).cast("int")
+    return _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.sum(hit).alias("found"), F.round(F.avg(hit), 6).alias("rate"))
