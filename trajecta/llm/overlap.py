@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.session import cut
+from trajecta.session import cut, parallelism
 
-#: Words in a slot, the same for texts of under SHORT words, and the bound between them (see `near`).
-SLOT, SHORT_SLOT, SHORT = 6, 2, 24
+#: Words in a slot, and how many rare slots of a text an evaluation text must hold to be looked at (see `near`).
+SLOT, AT_LEAST = 4, 2
 #: One word in TEN may differ.
 TEN = 10
 
@@ -117,11 +117,10 @@ def matches(index: FullTextIndex, texts: list[np.ndarray], train: np.ndarray) ->
     them are compared word by word. Nothing near is lost.
     """
     n = len(train)
-    width = SLOT if n >= SHORT else SHORT_SLOT
-    s = n // width
+    s = n // SLOT
     if not s:
         return []
-    coded = index.symbols(train[: s * width]).reshape(s, width)
+    coded = index.symbols(train[: s * SLOT]).reshape(s, SLOT)
     lo, hi = index.search(coded)
     _, text = index.owners(lo, hi)
     which, count = np.unique(text, return_counts=True)
@@ -130,7 +129,7 @@ def matches(index: FullTextIndex, texts: list[np.ndarray], train: np.ndarray) ->
         other = texts[t]
         most = max(n, len(other)) // TEN
         if c >= s - most and (d := distance(train, other, most)) is not None:
-            out.append((t, c * width, d))
+            out.append((t, c * SLOT, d))
     return out
 
 
@@ -139,37 +138,36 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
 
     train and evaluation hold distinct texts with key (the print) and text (words with single blanks).
 
-    A train text of n words may differ from an evaluation text in at most n // 9 words, so that of n // 9 + 1 disjoint
-    slots one at least occurs there unchanged. Slots are joined with the evaluation grams' counts; only the rarest
-    n // 9 + 1 slots of a text lead on, and a text with so many absent slots leads nowhere. The slots lead to shards of
-    `shard` evaluation texts, not to texts; in each shard visited a full-text index is built, the visitors stream
-    through it, and its matches are verified (`matches`). Hot grams (stock phrases) are hardly ever among the rarest,
-    and where they are, nothing is capped. A shard with many visitors is built in several tasks of `block` visitors.
+    A train text of n words may differ from an evaluation text in at most e = n // 9 words, and its s = n // 4 disjoint
+    slots of four words are spoilt one a word at most: s - e of them at least occur there unchanged. Slots are joined with
+    the counts of all evaluation grams. A text of whose slots fewer than s - e occur at all leads nowhere; else, of its
+    slots that occur, all but s - e - 2 are looked up, the rarest, and of these the text sought holds two at least
+    (one, where s - e is one). So it is found, and hot grams (stock phrases) are hardly ever looked up; where they are,
+    nothing is capped. What has two of them leads to its shard of `shard` evaluation texts; in each shard visited a
+    full-text index is built, the visitors stream through it, and its matches are verified (`matches`). A shard with
+    many visitors is built in several tasks of `block` visitors.
     """
     kind = dict(train.dtypes)[key]
-    none = F.array().cast("array<bigint>")
-
-    def grams(starts: Column, w: Column | int) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("__said", i.cast("int"), w)))
-
-    def every(w: int) -> Column:
-        return F.when(n >= w, grams(F.sequence(F.lit(1), n - (w - 1)), w)).otherwise(none)
-
+    grams = lambda starts: F.transform(starts, lambda i: F.xxhash64(F.slice("__said", i, SLOT)))
     n = F.size("__said")
     shards = F.pmod(F.xxhash64(key), F.lit(max(1, -(-evaluation.count() // shard)))).cast("int")
-    ev = evaluation.withColumn("__shard", shards)
-    told = ev.select("__shard", F.split(text, " ").alias("__said"))
-    posted = told.select("__shard", F.explode(F.array_distinct(F.concat(every(SLOT), F.when(n < 2 * SHORT, every(SHORT_SLOT)).otherwise(none)))).alias("__gram"))
-    posted = cut(posted.groupBy("__gram", "__shard").agg(F.count("*").cast("int").alias("__n")))
-    counts = posted.groupBy("__gram").agg(F.sum("__n").cast("int").alias("__n"))
-    heard = train.select(key, F.split(text, " ").alias("__said")).filter(n >= TEN - 1)
-    width = F.when(n >= SHORT, SLOT).otherwise(SHORT_SLOT)
-    slots = heard.select(key, n.alias("__len"), F.explode(grams(F.sequence(F.lit(1), n - width + 1, width), width)).alias("__gram"))
-    known = slots.join(counts, "__gram").groupBy(key).agg(F.first("__len").alias("__len"), F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__known"))
-    missing = F.floor(F.col("__len") / F.when(F.col("__len") >= SHORT, SLOT).otherwise(SHORT_SLOT)) - F.size("__known")
-    known = known.withColumn("__open", (F.floor(F.col("__len") / (TEN - 1)) + 1 - missing).cast("int")).filter("__open > 0")
-    led = known.select(key, F.explode(F.slice("__known", F.lit(1), F.col("__open"))).alias("__k")).select(key, F.col("__k.__gram").alias("__gram"))
-    visits = cut(led.join(posted.select("__gram", "__shard"), "__gram").select(key, "__shard").distinct())
+    # numbers that a checkpoint's partitions fix
+    ev = evaluation.withColumn("__shard", shards).withColumn("__e", F.monotonically_increasing_id())
+    train = train.withColumn("__t", F.monotonically_increasing_id())
+    told = ev.select("__e", F.split(text, " ").alias("__said")).filter(n >= SLOT)
+    posted = told.select("__e", F.explode(F.array_distinct(grams(F.sequence(F.lit(1), n - (SLOT - 1))))).alias("__gram"))
+    posted = posted.repartition(parallelism(train.sparkSession), "__gram")
+    counts = posted.groupBy("__gram").agg(F.count("*").cast("int").alias("__n"))
+    heard = train.select("__t", F.split(text, " ").alias("__said")).filter(n >= TEN - 1)
+    slots = heard.select("__t", n.alias("__len"), F.explode(grams(F.sequence(F.lit(1), n - (SLOT - 1), F.lit(SLOT)))).alias("__gram"))
+    known = slots.join(counts, "__gram").groupBy("__t").agg(F.first("__len").alias("__len"), F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__known"))
+    known = known.withColumn("__sure", F.expr(f"cast(__len div {SLOT} - __len div {TEN - 1} as int)")).filter(F.size("__known") >= F.col("__sure"))
+    known = known.withColumn("__least", F.least(F.col("__sure"), F.lit(AT_LEAST)))
+    led = known.select("__t", "__least", F.explode(F.slice("__known", F.lit(1), F.size("__known") - F.col("__sure") + F.col("__least"))).alias("__k"))
+    led = led.select("__t", "__least", F.col("__k.__gram").alias("__gram"))
+    close = led.join(posted, "__gram").groupBy("__t", "__e").agg(F.count("*").alias("__n"), F.first("__least").alias("__least")).filter("__n >= __least")
+    visits = close.select("__t", "__e").join(ev.select("__e", "__shard"), "__e").select("__t", "__shard").distinct()
+    visits = cut(visits.join(train.select("__t", key), "__t").select(key, "__shard"))
     crowd = visits.groupBy("__shard").agg(F.count("*").alias("__visits")).withColumn("__blocks", F.expr(f"cast((__visits - 1) div {block} + 1 as int)"))
     guests = visits.join(train, key).join(crowd, "__shard").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"))
     hosts = ev.join(crowd, "__shard").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
