@@ -13,6 +13,7 @@ from trajecta.llm.identity import instance_key
 from trajecta.llm.overlap import overlaps
 from trajecta.llm.packing import pack
 from trajecta.llm.splits import spelling_pairs, stratified_splits
+from trajecta.llm.sql import P1_FOUND, P5_FOUND, P6_FOUND, P6_GROUPS
 from trajecta.llm.tiling import leaked
 from trajecta.llm.tokens import encode_corpus
 from trajecta.registry import Registry, table
@@ -41,7 +42,7 @@ def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REG.add("p1_found")
+@REG.add("p1_found", P1_FOUND)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs beyond the cap of their instance."""
     return _capped(spark, sf_dir).filter(~F.col("kept")).select("pair_id")
@@ -61,13 +62,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_answers(table(spark, sf_dir, "sft_samples"), "sample_id", "type", "messages")
 
 
-@REG.add("p6_found")
+@REG.add("p6_found", P6_FOUND)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair that repeats an earlier one but for its form, with the first of its group."""
     return _folded(spark, sf_dir).filter("pair_id <> first_id").select(F.col("first_id").alias("first_pair_id"), "pair_id")
 
 
-@REG.add("p6_groups")
+@REG.add("p6_groups", P6_GROUPS)
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each group of copies, with its number of copies."""
     return _folded(spark, sf_dir).filter("pair_id = first_id").select("pair_id", "n_copies")
@@ -89,7 +90,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(items)
 
 
-@REG.add("p5_found")
+@REG.add("p5_found", P5_FOUND)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different spellings of one instance: the strings that the grouping puts into one component."""
     names = [table(spark, sf_dir, t).select("instance_id") for t in ("preference_pairs", "eval_items")]
