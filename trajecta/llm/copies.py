@@ -15,7 +15,8 @@ LINE_LABELS = ("HYPOTHESIS", "REASONING", "CHECK")
 
 def bare(text: Column) -> Column:
     """Letters and digits only, letter case folded (both ways, so that `ß` meets `SS`); null counts as empty."""
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", "")))
+    # the optimiser takes a lower right around an upper for a lower alone
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", ""))
 
 
 def bare_lines(text: Column, labels: tuple[str, ...] = LINE_LABELS) -> Column:
