@@ -13,9 +13,12 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
+CASES = ArrayType(StructType([StructField(x, StringType()) for x in ("input", "output", "testtype")]))
 
-@F.pandas_udf("double")
+
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; nulls count as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
@@ -25,7 +28,7 @@ def context_windows(text: Column, pattern: str, before: int = 70, after: int = 9
     """An array of the stretches around a pattern's matches, line ends as blanks."""
     rx = re.compile(pattern)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def windows(texts: pd.Series) -> pd.Series:
         cut = lambda t, m: t[max(0, m.start() - before) : m.end() + after].replace("\n", " ")
         return pd.Series([[cut(t, m) for m in rx.finditer(t)] if t else [] for t in texts], dtype=object)
@@ -60,7 +63,7 @@ def outputs_agree(actual: str, expected: str) -> bool:
     return ok1 and ok2 and close_values(a, b)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def case_passes(actual: pd.Series, expected: pd.Series) -> pd.Series:
     """Whether an output is the expected one; nulls count as empty."""
     return pd.Series([outputs_agree(x or "", y or "") for x, y in zip(actual, expected)], dtype="boolean")
@@ -97,8 +100,8 @@ def decode_cases(raw: str | None, most_bytes: int = 64 << 20) -> list[dict]:
     return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
 
-@F.pandas_udf("array<struct<input:string,output:string,testtype:string>>")
-def test_cases(raw: pd.Series) -> pd.Series:
+@F.pandas_udf(CASES)
+def decoded_cases(raw: pd.Series) -> pd.Series:
     """decode_cases as structs."""
     pick = lambda d, k: None if d.get(k) is None else str(d[k])
     return pd.Series([[{k: pick(d, k) for k in ("input", "output", "testtype")} for d in decode_cases(x)] for x in raw], dtype=object)

@@ -10,10 +10,11 @@ from trajecta.functions import fixed
 from trajecta.functions import text as T
 from trajecta.functions.hashing import hash_order, one_in, pick_variant, sha_mod, split_bucket
 from trajecta.functions.pandas_udfs import context_windows, similarity
-from trajecta.operators import intervals, joins, ledger, metrics, pairs, prep, streaks, turns
+from trajecta.operators import hooks, intervals, joins, ledger, metrics, pairs, prep, streaks, turns
 from trajecta.plans.views import CANDIDATES, MESSAGES, plain, view
 from trajecta.registry import Registry, table
 from trajecta.sources.readers import inspected
+from trajecta.streaming.twins import settled_counts
 
 REG = Registry()
 LOG, CANDS = f"log as ({plain(MESSAGES)})", f"cands as ({plain(CANDIDATES)})"
@@ -882,3 +883,34 @@ def refuted_match(s: SparkSession, d: str) -> DataFrame:
     told = table(s, d, "outcomes").select("instance_id", F.explode("refuted_hypotheses").alias("r"))
     both = _pairs(s, d).select("pair_id", "instance_id", "chosen").join(told, "instance_id")
     return both.filter(T.same_or_cut(F.col("chosen"), F.col("r"), 60)).select("pair_id").distinct()
+
+
+# ---- hooks and streams ----------------------------------------------------------------------------------------------
+
+
+@REG.add("perturbed_requests", "select item_no, k::int as k, list_extract(['plain', 'terse', 'doubt'], (k % 3 + 1)::int) as style, row_number() over (partition by item_no order by sha1('p|' || item_no || '|' || k)) as place from eval_items, range(0, 6) t(k)")
+def perturbed_requests(s: SparkSession, d: str) -> DataFrame:
+    """Six requests for each item, styles in turn, in seeded order."""
+    rows = hooks.perturbed(table(s, d, "eval_items").select("item_no"), ["plain", "terse", "doubt"], 6)
+    w = W.partitionBy("item_no").orderBy(hash_order("p", F.col("item_no"), F.col("k")))
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+@REG.add("best_of_picks", f"with {CANDS}, r as (select *, row_number() over (partition by node_id order by sha1('b|' || node_id || '|' || cand_idx)) as h from cands) select node_id, max_by(cand_idx, score * 1000000 - cand_idx) as best, min(cand_idx) as first, min_by(cand_idx, h) as random from r group by 1")
+def best_of_picks(s: SparkSession, d: str) -> DataFrame:
+    """Each node's best-scored, first and seeded random candidate."""
+    return hooks.picks(_cands(s, d), "node_id", "cand_idx", "score", "b")
+
+
+@REG.add("recorded_answers", "select i.item_no, coalesce(max(p.chosen), '(none)') as answer from eval_items i left join preference_pairs p on p.pair_id = i.item_no * 3 group by 1")
+def recorded_answers(s: SparkSession, d: str) -> DataFrame:
+    """Requests answered from recorded responses, never by a call."""
+    asked = table(s, d, "eval_items").select("item_no", (F.col("item_no") * 3).alias("request"))
+    told = _pairs(s, d).select(F.col("pair_id").alias("request"), F.col("chosen").alias("answer"))
+    return hooks.recorded(asked, told, "request", "answer", "(none)").select("item_no", "answer")
+
+
+@REG.add("stream_event_counts", "select event_type, count(*) as n from (select distinct on (event_id) event_id, event_type from events) group by 1")
+def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
+    """Events counted by a stream that takes each key once, up to where the folder ends."""
+    return settled_counts(s, f"{d}/events.parquet", "event_id", "event_type")

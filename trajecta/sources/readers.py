@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions import text as T
-from trajecta.functions.pandas_udfs import test_cases
+from trajecta.functions.pandas_udfs import decoded_cases
 from trajecta.operators.joins import last_wins
 
 ID_AND_RUN = r"([^/]+)/([^/]+)/[^/]+$"
@@ -81,17 +81,18 @@ def problems(spark: SparkSession, path: str, schema: str, after: str | None = No
         df = df.filter(F.substring("contest_date", 1, 10) > after)
     if difficulties:
         df = df.filter(F.col("difficulty").isin(*difficulties))
-    df = df.withColumn("public", test_cases("public_test_cases")).withColumn("private", test_cases("private_test_cases"))
+    df = df.withColumn("public", decoded_cases("public_test_cases")).withColumn("private", decoded_cases("private_test_cases"))
     return df if most_cases is None else df.withColumn("private", T.head_and_tail(F.col("private"), most_cases))
 
 
 def task_dirs(spark: SparkSession, root: str, files: Sequence[str] = ("task.toml", "instruction.md", "solution/solve.sh", "tests/test.sh")) -> DataFrame:
     """One row for each directory that holds all files and names a `docker_image`: task_id and the files' texts."""
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
-    base = F.lit(root.rstrip("/").rsplit("/", 1)[-1])
-    rest = F.substring_index(F.col("path"), F.concat(F.lit("/"), base, F.lit("/")), -1)
+    rest = F.substring_index(F.col("path"), f"/{root.rstrip('/').rsplit('/', 1)[-1]}/", -1)
     df = df.select(F.substring_index(rest, "/", 1).alias("task_id"), F.regexp_replace(rest, "^[^/]+/", "").alias("file"), "value")
-    wide = df.filter(F.col("file").isin(*files)).groupBy("task_id").pivot("file", list(files)).agg(F.first("value")).dropna()
+    wide = df.filter(F.col("file").isin(*files)).groupBy("task_id").pivot("file", list(files)).agg(F.first("value"))
+    for f in files:
+        wide = wide.filter(F.col(f"`{f}`").isNotNull())
 
     @F.pandas_udf("string")
     def image(texts: pd.Series) -> pd.Series:

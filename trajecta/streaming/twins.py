@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,26 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, late: str, *by: str)
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *by).agg(F.count("*").alias("n"))
 
 
+def settled_counts(spark: SparkSession, path: str, key: str, by: str) -> DataFrame:
+    """Counts of a file's or folder's rows by a column, each key once, from a stream that runs to the end and stops.
+
+    The checkpoint lies in the shared folder that the session names; the result has one row for each value.
+    """
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajecta-stream-")
+    table = spark.read.parquet(path).select(key, by)
+    stream = spark.readStream.schema(table.schema)
+    if [unquote(f).rsplit("/", 1)[-1] for f in table.inputFiles()[:2]] == [path.rsplit("/", 1)[-1]]:
+        folder, file = path.rsplit("/", 1)  # a stream reads folders
+        rows = stream.option("pathGlobFilter", file).parquet(folder)
+    else:
+        rows = stream.parquet(path)
+    rows = rows.dropDuplicates([key])
+    name = f"settled_{uuid.uuid4().hex}"
+    query = running_counts(rows, by).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
 EPISODE_OUT = "key string, step bigint, rounds int, stuck int, outcome string"
 EPISODE_STATE = "rounds int, stuck int, last string, outcome string"
 
