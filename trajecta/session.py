@@ -55,3 +55,12 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(file))
         sc._trajecta_shipped = str(file)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for stages that cost more than moving their input.
+
+    A large scan has more splits than that and stays as it is; only a few small files are dealt out.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
