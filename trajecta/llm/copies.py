@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.session import cut
+from trajecta.session import cut, spread
 
 #: Labels whose lines may come in any order.
 LINE_LABELS = ("HYPOTHESIS", "REASONING", "CHECK")
@@ -45,7 +45,8 @@ def fold_copies(df: DataFrame, row_id: str, columns: Mapping[str, Callable[[Colu
     """
     names = [f"__c{i}" for i in range(len(columns))]
     prints = [F.unhex(F.md5(canon(F.col(c)).cast("binary"))).alias(n) for n, (c, canon) in zip(names, columns.items())]
-    all_rows = cut(df.select(F.col(row_id).alias("__id"), *prints))
+    slim = spread(df.select(row_id, *columns))
+    all_rows = cut(slim.select(F.col(row_id).alias("__id"), *prints))
     coded = all_rows
     for n in names:
         codes = coded.groupBy(n).agg(F.min("__id").alias("__code"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.splits import contract
-from trajecta.session import cut
+from trajecta.session import cut, spread
 
 # The labels that sections of answers go by, by the part that they name.
 PARTS = {
@@ -200,7 +200,7 @@ def broken_answers(samples: DataFrame, row_id: str, kind: str, messages: str, re
             got = [look(t, m) for t, m in zip(b["__kind"], b["__m"])]
             yield pd.DataFrame({"__id": b["__id"], "__asked": b["__asked"]} | {n: [g[i] for g in got] for i, n in enumerate(("defect", "family", "parts", "said", "declines"))})
 
-    seen = cut(slim.mapInPandas(scan, f"__id {k}, __asked bigint, defect string, family string, parts int, said string, declines boolean"))
+    seen = cut(spread(slim).mapInPandas(scan, f"__id {k}, __asked bigint, defect string, family string, parts int, said string, declines boolean"))
     sizes = seen.filter("family is not null and family <> 'patch'").groupBy("family", "parts").agg(F.count("*").alias("n")).collect()  # families x parts
     need = {}
     for family in PARTS:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.session import cut, parallelism
+from trajecta.session import cut, parallelism, spread
 
 #: Words in a slot, and how many rare slots of a text an evaluation text must hold to be looked at (see `near`).
 SLOT, AT_LEAST = 4, 2
@@ -190,7 +190,7 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
 
 def printed(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """*keep, `__print` (128 bits over the words) and `__text` (words, single blanks); wordless texts are left out."""
-    df = df.select(*keep, F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")).alias("__text")).filter("__text <> ''")
+    df = spread(df.select(*keep, F.col(text).alias(text))).select(*keep, F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")).alias("__text")).filter("__text <> ''")
     return df.select(*keep, F.unhex(F.md5(F.col("__text").cast("binary"))).alias("__print"), "__text")
 
 

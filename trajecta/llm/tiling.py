@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajecta.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +123,7 @@ def leaked(
     """
     kinds, schema = dict(records.dtypes), f"{passage_id} {dict(passages.dtypes)[passage_id]}, "
     schema += ", ".join(f"{k} {kinds[k]}" for k in keys) + ", longest int, covered int, words int"
-    slim = records.select(*keys, texts.alias("__texts"))
+    slim = spread(records.select(*keys, texts.alias("__texts")))
 
     def scan(index: Index):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

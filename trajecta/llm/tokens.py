@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.session import parallelism
+from trajecta.session import parallelism, spread
 
 #: Where the vocabulary files lie, and which of them counts.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k"
@@ -153,7 +153,7 @@ def encode_corpus(
         ids = close(ps[0], enc)
         return pd.DataFrame({row_id: pdf[row_id].iloc[:1].tolist(), **({"n_tokens": [len(ids)]} if lengths else {"ids": [ids]})})
 
-    near = slim.filter(F.length("__text") <= chunk).mapInPandas(short, out)
+    near = spread(slim.filter(F.length("__text") <= chunk)).mapInPandas(short, out)
     starts = F.sequence(F.lit(0), F.expr(f"(length(__text) - 1) div {chunk}"))
     far = slim.filter(F.length("__text") > chunk).withColumn("__row", F.monotonically_increasing_id())
     far = far.select("__row", row_id, F.posexplode(F.transform(starts, lambda i: F.substring("__text", i * chunk + 1, F.lit(chunk)))).alias("__at", "__text"))
