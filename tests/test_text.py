@@ -179,3 +179,22 @@ def test_python_functions(spark):
 @pytest.mark.parametrize("labels", [fixed.LABELS])
 def test_fixed_values_fit(labels):
     assert all(len(s) == len(labels) for s in (*fixed.SKINS.values(), fixed.TRANSFER_SKIN))
+
+
+def test_render(spark):
+    from trajecta.functions import render
+
+    one = lambda sql, f: spark.sql(sql).select(f.alias("x")).first()["x"]
+    card = "select array(named_struct('cmd', 'pytest', 'result', '1 passed'), named_struct('cmd', 'ls', 'result', '')) as t, array('e') as e, array('h') as h, array('a.py', 'b.py') as i"
+    assert one(card, render.evidence(*map(F.col, "tehi"))) == "- ran test `pytest` -> 1 passed\n- ran test `ls`\n- edited: e\n- found: h\n- inspected: a.py, b.py"
+    none = "select cast(array() as array<struct<cmd:string,result:string>>) as t, cast(array() as array<string>) as e"
+    assert one(none, render.evidence(F.col("t"), F.col("e"), F.col("e"), F.col("e"))) == "(exploration / reading only)"
+    talk = "select array(named_struct('role', 'user', 'content', 'abcdef'), named_struct('role', 'gpt', 'content', cast(null as string))) as m"
+    assert one(talk, render.transcript(F.col("m"), 3)) == "[user] abc\n[gpt] "
+    assert one(talk, render.hit_places(F.col("m"), ["cd"])) == [0]
+    assert one("select array('x', 'y') as a", render.digest(F.col("a"), "H", "-")) == "H1: x\nH2: y" and one(none, render.digest(F.col("e"), "H", "-")) == "-"
+    assert one("select array('a', 'b', 'c', 'd') as f", render.feedback(F.col("f"), F.lit(2))) == "FAILED a\nFAILED b\nFAILED c\nhidden failures: 2"
+    assert one("select '' as a, 'b' as b", render.prompt([("A:", F.col("a")), ("B:", F.col("b"))], "Q?")) == "B:\nb\n\nQ?"
+    assert one("select array('b', 'a') as x", render.fingerprint(F.col("x"))) == one("select array('a', 'b') as x", render.fingerprint(F.col("x")))
+    small = "select array('xx', 'y', 'z') as i, array(true, true, true) as f, array(2, 1, 1) as n"
+    assert one(small, render.smallest(*map(F.col, "ifn"))) == "y"

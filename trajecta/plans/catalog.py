@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trajecta.functions import fixed
+from trajecta.functions import fixed, render
 from trajecta.functions import text as T
 from trajecta.functions.hashing import hash_order, one_in, pick_variant, sha_mod, split_bucket
 from trajecta.functions.pandas_udfs import context_windows, similarity
@@ -914,3 +914,101 @@ def recorded_answers(s: SparkSession, d: str) -> DataFrame:
 def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
     """Events counted by a stream that takes each key once, up to where the folder ends."""
     return settled_counts(s, f"{d}/events.parquet", "event_id", "event_type")
+
+
+# ---- rendering and small reports ------------------------------------------------------------------------------------
+
+
+@REG.add("rubric_means", "select event_type, 'k' as criterion, count(*) as n, round(avg(json_extract(props, '$.k')::double), 6) as mean from events where props is not null group by 1")
+def rubric_means(s: SparkSession, d: str) -> DataFrame:
+    """Means of graded criteria from JSON objects."""
+    grades = table(s, d, "events").select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("criterion", "value"))
+    return grades.groupBy("event_type", "criterion").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@REG.add("presence_counts", "select pair_type, count(*) filter (where a and b) as both, count(*) filter (where a and not b) as only_verbs, count(*) filter (where b and not a) as only_adjectives, count(*) filter (where not a and not b) as neither from (select pair_type, regexp_matches(lower(chosen), '\\b(?:passes|raises|compares|writes|keeps)\\b') as a, regexp_matches(lower(chosen), '\\b(?:stale|weak|empty|cached|partial)\\b') as b from preference_pairs) group by 1")
+def presence_counts(s: SparkSession, d: str) -> DataFrame:
+    """Verbs of operation and adjectives in answers, as a table of two by two."""
+    a, b = F.lower("chosen").rlike(r"\b(?:passes|raises|compares|writes|keeps)\b"), F.lower("chosen").rlike(r"\b(?:stale|weak|empty|cached|partial)\b")
+    return _pairs(s, d).groupBy("pair_type").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_verbs"), F.count_if(b & ~a).alias("only_adjectives"), F.count_if(~a & ~b).alias("neither"))
+
+
+@REG.add("state_fingerprint", "select instance_id, md5(array_to_string(list_sort(regexp_extract_all(patch, '(?m)^\\+\\+\\+ b/(.+)$', 1)), chr(10))) as print from instances where patch is not null")
+def state_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    """One print for the files that a patch writes, in any order."""
+    rows = _instances(s, d).filter("patch is not null")
+    return rows.select("instance_id", render.fingerprint(F.regexp_extract_all("patch", F.lit(r"(?m)^\+\+\+ b/(.+)"), F.lit(1))).alias("print"))
+
+
+@REG.add("smallest_failing", "select instance_id, run_id, list_extract(list_sort(list_transform(list_filter(evals, lambda e: e.resolved is not true), lambda e: {'n': length(e.stage), 'stage': e.stage})), 1).stage as stage, n_messages from outcomes")
+def smallest_failing(s: SparkSession, d: str) -> DataFrame:
+    """The failing evaluation with the shortest name."""
+    fails = F.transform("evals", lambda e: ~F.coalesce(e["resolved"], F.lit(False)))
+    stage = render.smallest(F.transform("evals", lambda e: e["stage"]), fails, F.transform("evals", lambda e: F.length(e["stage"])))
+    return table(s, d, "outcomes").select("instance_id", "run_id", stage.alias("stage"), "n_messages")
+
+
+@REG.add("hard_multi_hunk", "select difficulty, count(*) as n from instances where difficulty in ('1-4 hours', '>4 hours') and (length(patch) - length(replace(patch, '@@', ''))) / 2 >= 4 group by 1")
+def hard_multi_hunk(s: SparkSession, d: str) -> DataFrame:
+    """Instances of given difficulties whose patch has two hunks or more."""
+    rows = _instances(s, d).filter(F.col("difficulty").isin("1-4 hours", ">4 hours") & (F.regexp_count("patch", F.lit("@@")) >= 4))
+    return rows.groupBy("difficulty").agg(F.count("*").alias("n"))
+
+
+@REG.add("transcripts", "select sample_id, sha1(array_to_string(list_transform(messages, lambda m: '[' || coalesce(m.role, '') || '] ' || substr(coalesce(m.content, ''), 1, 60)), chr(10))) as print from sft_samples")
+def transcripts(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as short transcripts."""
+    return _samples(s, d).select("sample_id", F.sha1(render.transcript(F.col("messages"), 60).cast("binary")).alias("print"))
+
+
+@REG.add("refuted_digest", "select instance_id, run_id, finished_at::varchar as at_, case when len(refuted_hypotheses) > 0 then list_extract(refuted_hypotheses, 1) end as first, coalesce(len(refuted_hypotheses), 0) as n from outcomes".replace("finished_at::varchar as at_, ", "n_messages, "))
+def refuted_digest(s: SparkSession, d: str) -> DataFrame:
+    """Refuted hypotheses of each outcome: the first, and how many."""
+    r = F.col("refuted_hypotheses")
+    return table(s, d, "outcomes").select("instance_id", "run_id", "n_messages", F.try_element_at(r, F.lit(1)).alias("first"), F.coalesce(F.when(r.isNotNull(), F.size(r)), F.lit(0)).cast("bigint").alias("n"))
+
+
+@REG.add("failure_feedback")
+def failure_feedback(s: SparkSession, d: str) -> DataFrame:
+    """Feedback on failed evaluations, and the refuted hypotheses as a list."""
+    failed = F.transform(F.filter("evals", lambda e: ~F.coalesce(e["resolved"], F.lit(False))), lambda e: e["stage"])
+    hidden = F.size(F.filter("evals", lambda e: ~F.coalesce(e["p2p_pass"], F.lit(False))))
+    return table(s, d, "outcomes").select("instance_id", "run_id", render.feedback(failed, hidden).alias("feedback"), render.digest(F.col("refuted_hypotheses"), "H", "(none)").alias("refuted"))
+
+
+@REG.add("prompt_template", "select item_no, concat_ws(chr(10) || chr(10), 'ISSUE:' || chr(10) || nullif(substr(input, 1, 200), ''), 'EXPECTED:' || chr(10) || nullif(expected, ''), 'Name one cause.') as prompt from eval_items")
+def prompt_template(s: SparkSession, d: str) -> DataFrame:
+    """Prompts from headed blocks; what is missing is left out."""
+    blocks = [("ISSUE:", F.substring("input", 1, 200)), ("EXPECTED:", F.col("expected"))]
+    return table(s, d, "eval_items").select("item_no", render.prompt(blocks, "Name one cause.").alias("prompt"))
+
+
+@REG.add(
+    "scan_status",
+    f"""with {TOKENS_SQL}, h as (select p.pair_id, t.tokens, (select count(*) from unnest(t.tokens) u(tok) where regexp_matches(p.prompt, '\\b' || substr(tok, 6) || '\\b')) as hits from preference_pairs p left join tokens t on t.instance_id = p.instance_id)
+    select case when tokens is null then 'unscanned' when hits > 0 then 'hit' else 'clean' end as status, count(*) as n from h group by 1""",
+)
+def scan_status(s: SparkSession, d: str) -> DataFrame:
+    """Pairs without known tokens (kept and counted), with a hit, and clean."""
+    names = _tokens(s, d).withColumn("tokens", F.transform("tokens", lambda t: F.substr(t, F.lit(6))))
+    both = _pairs(s, d).select("instance_id", "prompt").join(names, "instance_id", "left")
+    status = F.when(F.col("tokens").isNull(), "unscanned").when(F.size(T.leaked_tokens(F.col("prompt"), F.col("tokens"))) > 0, "hit").otherwise("clean")
+    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@REG.add(
+    "winner_pairs",
+    "with w as (select instance_id, max_by(chosen, pair_id) as winner from preference_pairs where strength = 'verified' group by 1) select k.kind, count(*) as n from w join preference_pairs p using (instance_id), (values ('decision'), ('issue_only')) k(kind) where lower(trim(p.rejected)) <> lower(trim(w.winner)) and p.rejected <> '' group by 1",
+)
+def winner_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Each instance's last verified answer against its rejected ones, for two kinds of prompt."""
+    rows = _pairs(s, d)
+    winner = rows.filter("strength = 'verified'").groupBy("instance_id").agg(F.max_by("chosen", "pair_id").alias("winner"))
+    both = rows.select("instance_id", "rejected").join(winner, "instance_id").filter((F.lower(F.trim("rejected")) != F.lower(F.trim("winner"))) & T.truthy("rejected"))
+    return both.select(F.explode(F.array(F.lit("decision"), F.lit("issue_only"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@REG.add("hypothesis_places", "select sample_id, array_to_string(list_filter(list_transform(messages, lambda m, i: case when contains(m.content, 'HYPOTHESIS:') then i - 1 end), lambda x: x is not null), ',') as places from sft_samples")
+def hypothesis_places(s: SparkSession, d: str) -> DataFrame:
+    """At which places of a conversation hypotheses are stated."""
+    return _samples(s, d).select("sample_id", F.array_join(F.transform(render.hit_places(F.col("messages"), ["HYPOTHESIS:"]), lambda i: i.cast("string")), ",").alias("places"))
