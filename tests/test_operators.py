@@ -42,13 +42,18 @@ def test_cards_equal_a_loop(spark):
 
 
 def test_evidence_never_sees_its_own_card(spark):
-    rows = [(1, c, [f"canary{c}", "both"], [f"e{c}"]) for c in range(20)]
-    df = spark.createDataFrame(rows, "log int, card int, found array<string>, edits array<string>")
-    for r in ledger.evidence_before(df, ["log"], "card", {"found": 12, "edits": None}, {"found": F.array(F.lit("seed"))}).collect():
-        c = r["card"]
-        seen = ["seed", *dict.fromkeys(x for k in range(c) for x in (f"canary{k}", "both"))]
-        assert r["prior_found"] == seen[-12:] and r["prior_edits"] == [f"e{k}" for k in range(c)]
-        assert f"canary{c}" not in r["prior_found"]
+    rng = random.Random(9)
+    items = [(log, rng.randint(0, 20), i, f"i{rng.randint(0, 40)}") for log in range(8) for i in range(90)] + [(0, c, 0, f"canary{c}") for c in range(20)]
+    nodes = [(log, c, "x") for log in range(9) for c in range(20)]
+    n_df = spark.createDataFrame(nodes, "log int, card int, hyp string").repartition(3)
+    i_df = spark.createDataFrame(items, "log int, card int, idx int, item string").repartition(3)
+    for distinct in (True, False):
+        got = {(r["log"], r["card"]): r["prior"] for r in ledger.last_before(n_df, i_df, ["log"], "card", "item", "idx", 12, distinct).collect()}
+        assert len(got) == len(nodes)
+        for log, c, _ in nodes:
+            seen = [x for _, _, x in sorted((k, i, x) for l, k, i, x in items if l == log and k < c)]
+            assert got[log, c] == (list(dict.fromkeys(seen)) if distinct else seen)[-12:]
+            assert f"canary{c}" not in got[log, c]
 
 
 def test_actions_and_results(spark):

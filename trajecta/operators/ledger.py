@@ -72,16 +72,23 @@ def attach_results(events: DataFrame, by: Sequence[str], order: str, is_test: Co
     return df.filter("test_at is not null").groupBy(*by, "test_at").agg(F.min_by(F.substring("__r", 1, width), F.when(F.col("__r").isNotNull(), F.col(order))).alias("result"))
 
 
-def evidence_before(nodes: DataFrame, by: Sequence[str], order: str, lists: dict[str, int | None], seed: dict[str, Column] | None = None) -> DataFrame:
-    """Exclusive running evidence: for each row what rows strictly before it in its group gathered.
+def last_before(nodes: DataFrame, items: DataFrame, by: Sequence[str], order: str, item: str, at: str, n: int, distinct: bool = True, name: str = "prior") -> DataFrame:
+    """nodes with `name`: the last n items of their group that belong to an order value strictly before the node's.
 
-    lists names array columns and how many of the last distinct elements stay (None: all, repeated ones too); the
-    result has them as `prior_<name>`. The frame ends one row before the row, so that no row sees itself.
+    items has *by, order (the node that gathered it), at (its place there) and item. With `distinct` an item counts where
+    it appears first. Evidence of a node itself and of later ones never shows, as a node's row sorts before its items.
+
+    Every row carries n items at most and the frames run forward, so that a long log costs its length. nodes with the
+    same order value in a group each get the same items.
     """
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    for name, n in lists.items():
-        before = F.flatten(F.collect_list(name).over(w))
-        if seed and name in seed:
-            before = F.concat(seed[name], before)
-        nodes = nodes.withColumn(f"prior_{name}", before if n is None else T.last_n(F.array_distinct(before), n))
-    return nodes
+    rows = items.select(*by, F.col(order).alias("__order"), F.col(at).alias("__at"), F.col(item).alias("__item"))
+    if distinct:
+        first = rows.groupBy(*by, "__item").agg(F.min(F.struct("__order", "__at")).alias("__p"))
+        rows = first.select(*by, F.col("__p.__order").alias("__order"), F.col("__p.__at").alias("__at"), "__item")
+    w = W.partitionBy(*by).orderBy("__order", "__at", "__item")
+    rows = rows.withColumn("__last", F.collect_list("__item").over(w.rowsBetween(-(n - 1), 0)))
+    kept = nodes.select(*by, F.col(order).alias("__order"), F.struct(*[c for c in nodes.columns]).alias("__node"))
+    both = kept.unionByName(rows.select(*by, "__order", "__at", "__last"), allowMissingColumns=True)
+    run = W.partitionBy(*by).orderBy("__order", F.col("__node").isNull(), F.col("__at").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    seen = F.coalesce(F.last("__last", ignorenulls=True).over(run), F.array().cast(dict(rows.dtypes)["__last"]))
+    return both.withColumn("__seen", seen).filter(F.col("__node").isNotNull()).select("__node.*", F.col("__seen").alias(name))

@@ -269,13 +269,11 @@ def action_pairs(s: SparkSession, d: str) -> DataFrame:
 )
 def prior_evidence(s: SparkSession, d: str) -> DataFrame:
     """What each card may know: the last twelve distinct hits and the last hypothesis strictly before it."""
-    per = _opened(s, d).filter("card > 0").groupBy("instance_id", "card").agg(
-        F.max("hyp").alias("__any"), F.min_by("hyp", "idx").alias("hyp"), F.array_sort(F.collect_list(F.when(F.col("event_type") == "view", F.struct("idx", "text")))).alias("f")
-    )
-    per = per.withColumn("found", F.transform("f", lambda x: x["text"]))
-    out = ledger.evidence_before(per, ["instance_id"], "card", {"found": 12})
-    prior = F.lag("hyp").over(W.partitionBy("instance_id").orderBy("card"))
-    return out.select("instance_id", "card", prior.alias("prior_hyp"), F.size("prior_found").cast("bigint").alias("n"), F.nullif(F.array_join("prior_found", "|"), F.lit("")).alias("found"))
+    log = _opened(s, d).filter("card > 0")
+    w = W.partitionBy("instance_id").orderBy("card")
+    nodes = ledger.cards(log, ["instance_id"]).select("instance_id", "card", F.lag("hyp").over(w).alias("prior_hyp"))
+    got = ledger.last_before(nodes, log.filter("event_type = 'view'"), ["instance_id"], "card", "text", "idx", 12)
+    return got.select("instance_id", "card", "prior_hyp", F.size("prior").cast("bigint").alias("n"), F.nullif(F.array_join("prior", "|"), F.lit("")).alias("found"))
 
 
 # ---- conversations --------------------------------------------------------------------------------------------------
