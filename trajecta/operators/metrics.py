@@ -104,17 +104,19 @@ def bootstrap(df: DataFrame, value: str, by: Sequence[str] = (), draws: int = 20
     return keyed.groupBy(*(by or ["__all"])).applyInPandas(draw, schema)
 
 
-def discrete_quantile(xs: Column, q: float) -> Column:
-    """The element of a sorted list at floor(q * n), from 0."""
-    s = F.sort_array(F.collect_list(xs))
-    return F.try_element_at(s, (F.floor(F.lit(q) * F.size(s)) + 1).cast("int"))
+def quantile_at(df: DataFrame, by: Sequence[str], x: str, q: float, name: str, slack: float = 0.002) -> DataFrame:
+    """The value at floor(q * n), from 0, of each group's order, exactly.
 
-
-def quantile_at(df: DataFrame, by: Sequence[str], x: str, q: float, name: str) -> DataFrame:
-    """The value at floor(q * n) of each group's order; ranks by a window, collects nothing."""
-    w = W.partitionBy(*by).orderBy(x)
-    ranked = df.filter(F.col(x).isNotNull()).withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(W.partitionBy(*by)))
-    return ranked.filter(F.col("__i") == F.floor(F.lit(q) * F.col("__n"))).select(*by, F.col(x).alias(name))
+    A quantile sketch (a partial aggregate of bounded size, its rank error a tenth of the slack or less) brackets the
+    value; below the bracket rows are only counted, and only the bracket's distinct values are ordered.
+    """
+    keys, rows = list(by), df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("__x"))
+    edges = F.percentile_approx("__x", [max(0.0, q - slack), min(1.0, q + slack)], int(10 / slack))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("__n"), edges.alias("__e"))
+    near = rows.join(ends.select(*keys, F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"), F.floor(F.lit(q) * F.col("__n")).alias("__k")), keys)
+    cells = near.filter("__x <= __hi").groupBy(*keys, "__k", F.when(F.col("__x") >= F.col("__lo"), F.col("__x")).alias("__v")).agg(F.count("*").alias("__c"))
+    run = F.sum("__c").over(W.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    return cells.withColumn("__run", run).filter("__v is not null and __run > __k").groupBy(*keys).agg(F.min("__v").alias(name))
 
 
 def spread(*scores: str) -> Column:

@@ -39,10 +39,11 @@ def drop_chain(df: DataFrame, order: str, early: Sequence[tuple[str, Column]], k
     """df with `reason`: early conditions, then `dup` among their survivors, then late conditions; null for what stays.
 
     A row is counted under the first condition that it meets, and a row that a late condition drops has claimed its key.
+    Late conditions are evaluated before the join on the key, so that texts they look at needn't move with it.
     """
-    df = df.withColumn("__early", first_reason(early))
+    df = df.withColumn("__early", first_reason(early)).withColumn("__late", first_reason(late))
     df = mark_repeats(df, key, order, F.col("__early").isNull(), "__dup")
-    return df.withColumn("reason", F.coalesce(F.col("__early"), first_reason([("dup", F.col("__dup")), *late]))).drop("__early", "__dup")
+    return df.withColumn("reason", F.coalesce(F.col("__early"), F.when(F.col("__dup"), "dup"), F.col("__late"))).drop("__early", "__late", "__dup")
 
 
 def capped(df: DataFrame, key: str, n: int, seed: str, row: str, first: Sequence[Column] = ()) -> DataFrame:

@@ -24,10 +24,9 @@ def merge_speakers(turns: DataFrame, by: Sequence[str], order: str = "idx", who:
 
 def trim_ends(turns: DataFrame, by: Sequence[str], first: str = "human", last: str = "gpt", who: str = "who") -> DataFrame:
     """Without what stands before the first turn of one speaker and behind the last of the other; conversations of one turn go."""
-    w = W.partitionBy(*by)
-    df = turns.withColumn("__a", F.min(F.when(F.col(who) == first, F.col("turn"))).over(w)).withColumn("__z", F.max(F.when(F.col(who) == last, F.col("turn"))).over(w))
-    df = df.filter((F.col("turn") >= F.col("__a")) & (F.col("turn") <= F.col("__z")))
-    return df.withColumn("__n", F.count("*").over(w)).filter("__n >= 2").drop("__a", "__z", "__n")
+    a, z = F.min(F.when(F.col(who) == first, F.col("turn"))).alias("__a"), F.max(F.when(F.col(who) == last, F.col("turn"))).alias("__z")
+    ends = turns.groupBy(*by).agg(a, z).filter("__z > __a")  # turns are numbered without gaps
+    return turns.join(ends, list(by)).filter("turn between __a and __z").drop("__a", "__z")
 
 
 def up_to(messages: DataFrame, by: Sequence[str], bounds: DataFrame, order: str = "idx", role: str = "role", text: str = "text", width: int = 80) -> DataFrame:
@@ -36,13 +35,12 @@ def up_to(messages: DataFrame, by: Sequence[str], bounds: DataFrame, order: str
     bounds has *by, `raw_ref` (a place or null) and `hyp`. A place outside the log doesn't count; then the first
     assistant message that holds the beginning of `hyp` is the bound, and a log without any bound gives nothing.
     """
-    joined = messages.join(bounds, list(by))
-    n = F.count("*").over(W.partitionBy(*by))
     key = F.substring(T.fold_key("hyp"), 1, width)
     match = (F.col(role) == "assistant") & (key != "") & F.contains(T.fold_key(text), key)
-    joined = joined.withColumn("__n", n).withColumn("__ref", F.when((F.col("raw_ref") >= 0) & (F.col("raw_ref") < F.col("__n")), F.col("raw_ref")))
-    joined = joined.withColumn("__bound", F.coalesce("__ref", F.min(F.when(match, F.col(order))).over(W.partitionBy(*by))))
-    return joined.filter(F.col(order) < F.col("__bound")).drop("__n", "__ref", "__bound", "raw_ref", "hyp")
+    said = messages.join(bounds, list(by)).groupBy(*by).agg(F.count("*").alias("__n"), F.max("raw_ref").alias("__ref"), F.min(F.when(match, F.col(order))).alias("__said"))
+    place = F.when((F.col("__ref") >= 0) & (F.col("__ref") < F.col("__n")), F.col("__ref"))
+    limits = said.select(*by, F.coalesce(place, F.col("__said")).alias("__bound")).filter("__bound is not null")
+    return messages.join(limits, list(by)).filter(F.col(order) < F.col("__bound")).drop("__bound")
 
 
 def head_and_recent(parts: DataFrame, by: Sequence[str], budget: int, order: str = "idx", text: str = "text", head: int = 2, head_cap: int = 8000) -> DataFrame:

@@ -660,8 +660,7 @@ def rollout_rates(s: SparkSession, d: str) -> DataFrame:
 def before_first_submit(s: SparkSession, d: str) -> DataFrame:
     """What stands before and after each log's first submission."""
     log = _log(s, d)
-    log = log.withColumn("at", F.min(F.when(F.col("event_type") == "purchase", F.col("idx"))).over(W.partitionBy("instance_id"))).filter("at is not null")
-    return log.groupBy("instance_id").agg(F.count_if((F.col("idx") < F.col("at")) & (F.col("event_type") == "click")).alias("stated"), F.count_if((F.col("idx") > F.col("at")) & (F.col("event_type") == "error")).alias("failed_after"))
+    return log.join(joins.in_order(log, "instance_id", F.when(F.col("event_type") == "purchase", F.col("idx"))).filter("at is not null"), "instance_id").groupBy("instance_id").agg(F.count_if((F.col("idx") < F.col("at")) & (F.col("event_type") == "click")).alias("stated"), F.count_if((F.col("idx") > F.col("at")) & (F.col("event_type") == "error")).alias("failed_after"))
 
 
 @REG.add("accounting_shares", "select type, coalesce(source, 'none') as source, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from sft_samples group by 1, 2")
