@@ -445,17 +445,21 @@ def renamed_labels(s: SparkSession, d: str) -> DataFrame:
     return _answers(s, d).select("sample_id", T.rename_labels("a", fixed.SKINS["review"]).alias("answer"), T.schema_note(T.labels_in_order("a"), names).alias("note"))
 
 
-@REG.add("section_split", f"with {ANSWER_SQL} select sample_id, regexp_extract(a, '(?s)HYPOTHESIS: (.*?)(?:\\nREASONING:|\\z)', 1) as hypothesis, regexp_extract(a, '(?s)REASONING: (.*?)\\z', 1) as reasoning from answers where type = 'propose' and a is not null")
+@REG.add("section_split", f"with {ANSWER_SQL} select sample_id, regexp_extract(a, '(?s)HYPOTHESIS: (.*?)(?:\\nREASONING:|\\z)', 1) as hypothesis, regexp_extract(a, '(?s)REASONING: (.*?)\\z', 1) as reasoning from answers where a is not null")
 def section_split(s: SparkSession, d: str) -> DataFrame:
-    """Hypothesis and reasoning of proposals; the reasoning runs to the end."""
-    rows = _answers(s, d).filter("type = 'propose' and a is not null")
+    """Hypothesis and reasoning of answers; the reasoning runs to the end."""
+    rows = _answers(s, d).filter("a is not null")
     return rows.select("sample_id", T.section("a", "HYPOTHESIS: ", r"\nREASONING:").alias("hypothesis"), T.section("a", "REASONING: ").alias("reasoning"))
 
 
-@REG.add("one_line_hypothesis", f"with {ANSWER_SQL}, h as (select sample_id, a, regexp_extract(a, '(?i)HYPOTHESIS:\\s*(.+)', 1) as h from answers where type = 'audit' and a is not null and not regexp_matches(a, '[^ -~\\n]')) select sample_id, case when h <> '' then trim(regexp_replace(h, '\\s+', ' ', 'g')) else substr(trim(regexp_replace(a, '\\s+', ' ', 'g')), 1, 400) end as line from h")
+WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@REG.add("one_line_hypothesis", rf"""with {ANSWER_SQL}, h as (select sample_id, a, regexp_extract(a, '(?i)HYPOTHESIS:\s*([^\n\r\x{{85}}\x{{2028}}\x{{2029}}]+)', 1) as h from answers)
+    select sample_id, case when coalesce(h, '') <> '' then trim(regexp_replace(h, '{WHITE}', ' ', 'g')) else substr(trim(regexp_replace(coalesce(a, ''), '{WHITE}', ' ', 'g')), 1, 400) end as line from h""")
 def one_line_hypothesis(s: SparkSession, d: str) -> DataFrame:
-    rows = _answers(s, d).filter(F.col("a").isNotNull() & (F.col("type") == "audit") & ~F.col("a").rlike(r"[^ -~\n]"))
-    return rows.select("sample_id", T.one_line_hypothesis("a").alias("line"))
+    """The hypothesis of each answer as one line, else the answer's beginning."""
+    return _answers(s, d).select("sample_id", T.one_line_hypothesis("a").alias("line"))
 
 
 @REG.add("answer_flags", f"with {ANSWER_SQL} select lower(regexp_extract(a, '(?i)VERDICT:\\s*(good|weak|wrong)', 1)) as verdict, count(*) as n, count(*) filter (where regexp_matches(a, '{fixed.DECLINES}')) as declines from answers where a is not null group by 1")
@@ -470,10 +474,10 @@ def file_mentions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.explode(T.file_names("text")).alias("file")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@REG.add("middle_cut", "select doc_id, case when length(text) <= 1000 then text else substr(text, 1, 500) || chr(10) || '... [output truncated] ...' || chr(10) || substr(text, -500) end as text from documents where text is not null and doc_kind = 'run_log'")
+@REG.add("middle_cut", "select doc_id, case when length(text) <= 1000 then text else substr(text, 1, 500) || chr(10) || '... [output truncated] ...' || chr(10) || substr(text, -500) end as text from documents")
 def middle_cut(s: SparkSession, d: str) -> DataFrame:
-    """Long run logs without their middle."""
-    return table(s, d, "documents").filter("text is not null and doc_kind = 'run_log'").select("doc_id", T.middle_cut("text", 1000).alias("text"))
+    """Long texts without their middle."""
+    return table(s, d, "documents").select("doc_id", T.middle_cut("text", 1000).alias("text"))
 
 
 @REG.add("literal_lists", "select instance_id, case when fail_to_pass = '[]' or fail_to_pass is null or fail_to_pass = '' then 0 else len(string_split(fail_to_pass, ',')) end as n from instances")
@@ -700,10 +704,10 @@ def similar_adjacent(s: SparkSession, d: str) -> DataFrame:
     return c.groupBy("instance_id").agg(F.count("*").alias("n"), F.round(F.avg(similarity("before", "hyp")), 6).alias("similarity"))
 
 
-@REG.add("connectives", "select sample_id, round(len(regexp_extract_all(lower(a), '\\b(?:because|since|therefore|hence|so that|which means)\\b')) * 100.0 / greatest(len(regexp_extract_all(a, '\\S+')), 1), 6) as per_100 from (select sample_id, list_extract(messages, -1).content as a from sft_samples) where a is not null and not regexp_matches(a, '[^ -~\\n]')")
+@REG.add("connectives", "select sample_id, round(len(regexp_extract_all(lower(a), '\\b(?:because|since|therefore|hence|so that|which means)\\b')) * 100.0 / greatest(len(regexp_extract_all(a, '\\S+')), 1), 6) as per_100 from (select sample_id, list_extract(messages, -1).content as a from sft_samples) where a is not null")
 def connectives(s: SparkSession, d: str) -> DataFrame:
     """Connectives in a hundred words of an answer."""
-    rows = _answers(s, d).filter(F.col("a").isNotNull() & ~F.col("a").rlike(r"[^ -~\n]"))
+    rows = _answers(s, d).filter("a is not null")
     words = F.greatest(F.regexp_count("a", F.lit(r"\S+")), F.lit(1))
     return rows.select("sample_id", F.round(F.regexp_count(F.lower("a"), F.lit(r"\b(?:because|since|therefore|hence|so that|which means)\b")) * 100.0 / words, 6).alias("per_100"))
 
