@@ -60,7 +60,10 @@ def ship(spark: SparkSession) -> SparkSession:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many partitions as there are cores, for stages that cost more than moving their input.
 
-    A large scan has more splits than that and stays as it is; only a few small files are dealt out.
+    A large scan has more splits than that and stays as it is; only a few small files are dealt out. What already went
+    through an exchange stays too: counting its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
