@@ -65,9 +65,11 @@ def components(df: DataFrame, row_id: str, keys: Sequence[Column], max_rounds: i
 def place(vectors: np.ndarray, order: Sequence[str], want: np.ndarray) -> np.ndarray:
     """The split of each group: the rarest outstanding label goes first, into the split that needs it most.
 
-    vectors: groups x labels (counts); want: labels x splits (records still wanted), changed in place. Ties of need go
-    to the split that wants more records in all, then to the first split; larger groups of a label go first, then by
-    order.
+    vectors: groups x labels (counts); want: labels x splits (records still wanted), changed in place. Of the splits
+    that still want as many records of the label as the group has, the one with the largest part of its share open needs
+    it most, so that small groups are dealt out in proportion all along and the other labels with them; where none does,
+    the one that wants most records. Ties go to the split with more of its total open, to the one that wants more in all,
+    then to the first split; larger groups of a label go first, then by order.
     """
     n, n_labels = vectors.shape
     out, left = np.full(n, -1), vectors.sum(axis=0).astype(float)
@@ -78,6 +80,12 @@ def place(vectors: np.ndarray, order: Sequence[str], want: np.ndarray) -> np.nda
     for q in queues:
         heapq.heapify(q)
     total = want.sum(axis=0)
+    goal, goals = np.maximum(want, 1e-9), np.maximum(total, 1e-9)
+
+    def need(s: int, i: int, j: int) -> tuple:
+        fits = want[j, s] >= vectors[i, j]
+        return bool(fits), round(want[j, s] / (goal[j, s] if fits else 1.0), 9), round(total[s] / goals[s], 9), round(total[s], 9), -s
+
     while True:
         open_ = [j for j in range(n_labels) if queues[j]]
         if not open_:
@@ -86,7 +94,7 @@ def place(vectors: np.ndarray, order: Sequence[str], want: np.ndarray) -> np.nda
         i = heapq.heappop(queues[j])[3]
         if out[i] >= 0:
             continue
-        best = max(range(want.shape[1]), key=lambda s: (round(want[j, s], 9), round(total[s], 9), -s))
+        best = max(range(want.shape[1]), key=lambda s: need(s, i, j))
         out[i] = best
         want[:, best] -= vectors[i]
         total[best] -= size[i]
