@@ -82,6 +82,9 @@ def test_channel_restores():
         ("mоrоn", "moron"),
         ("CLO​WN", "clown"),
         ("W0R7HL355", "worthless"),
+        ("you b@$tard", "you bastard"),
+        ("ｃｌｏｗｎ", "clown"),
+        ("@harlode: hi", "@harlode: hi"),
     ):
         assert ch.restore(told) == meant
     for harmless in ("read line 1178 of v2", "0.6.5 and 7", "at 12:30 code", "a b"):
