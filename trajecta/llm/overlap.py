@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trajecta.session import cut, parallelism, spread
 
 #: Words in a slot, and how many rare slots of a text an evaluation text must hold to be looked at (see `near`).
-SLOT, AT_LEAST = 4, 2
+SLOT, AT_LEAST = 4, 3
 #: One word in TEN may differ.
 TEN = 10
 
@@ -141,9 +141,9 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
     A train text of n words may differ from an evaluation text in at most e = n // 9 words, and its s = n // 4 disjoint
     slots of four words are spoilt one a word at most: s - e of them at least occur there unchanged. Slots are joined with
     the counts of all evaluation grams. A text of whose slots fewer than s - e occur at all leads nowhere; else, of its
-    slots that occur, all but s - e - 2 are looked up, the rarest, and of these the text sought holds two at least
-    (one, where s - e is one). So it is found, and hot grams (stock phrases) are hardly ever looked up; where they are,
-    nothing is capped. What has two of them leads to its shard of `shard` evaluation texts; in each shard visited a
+    slots that occur, all but s - e - 3 are looked up, the rarest, and of these the text sought holds three at least
+    (fewer, where s - e is less). So it is found, and hot grams (stock phrases) are hardly ever looked up; where they are,
+    nothing is capped. What has three of them, and a fitting length, leads to its shard of `shard` evaluation texts; in each shard visited a
     full-text index is built, the visitors stream through it, and its matches are verified (`matches`). A shard with
     many visitors is built in several tasks of `block` visitors.
     """
@@ -155,7 +155,7 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
     ev = evaluation.withColumn("__shard", shards).withColumn("__e", F.monotonically_increasing_id())
     train = train.withColumn("__t", F.monotonically_increasing_id())
     told = ev.select("__e", F.split(text, " ").alias("__said")).filter(n >= SLOT)
-    posted = told.select("__e", F.explode(F.array_distinct(grams(F.sequence(F.lit(1), n - (SLOT - 1))))).alias("__gram"))
+    posted = told.select("__e", n.cast("int").alias("__m"), F.explode(F.array_distinct(grams(F.sequence(F.lit(1), n - (SLOT - 1))))).alias("__gram"))
     posted = posted.repartition(parallelism(train.sparkSession), "__gram")
     counts = posted.groupBy("__gram").agg(F.count("*").cast("int").alias("__n"))
     heard = train.select("__t", F.split(text, " ").alias("__said")).filter(n >= TEN - 1)
@@ -163,9 +163,10 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
     known = slots.join(counts, "__gram").groupBy("__t").agg(F.first("__len").alias("__len"), F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__known"))
     known = known.withColumn("__sure", F.expr(f"cast(__len div {SLOT} - __len div {TEN - 1} as int)")).filter(F.size("__known") >= F.col("__sure"))
     known = known.withColumn("__least", F.least(F.col("__sure"), F.lit(AT_LEAST)))
-    led = known.select("__t", "__least", F.explode(F.slice("__known", F.lit(1), F.size("__known") - F.col("__sure") + F.col("__least"))).alias("__k"))
-    led = led.select("__t", "__least", F.col("__k.__gram").alias("__gram"))
-    close = led.join(posted, "__gram").groupBy("__t", "__e").agg(F.count("*").alias("__n"), F.first("__least").alias("__least")).filter("__n >= __least")
+    led = known.select("__t", "__len", "__least", F.explode(F.slice("__known", F.lit(1), F.size("__known") - F.col("__sure") + F.col("__least"))).alias("__k"))
+    led = led.select("__t", "__len", "__least", F.col("__k.__gram").alias("__gram"))
+    fits = F.abs(F.col("__len") - F.col("__m")) * TEN <= F.greatest("__len", "__m")
+    close = led.join(posted, "__gram").filter(fits).groupBy("__t", "__e").agg(F.count("*").alias("__n"), F.first("__least").alias("__least")).filter("__n >= __least")
     visits = close.select("__t", "__e").join(ev.select("__e", "__shard"), "__e").select("__t", "__shard").distinct()
     visits = cut(visits.join(train.select("__t", key), "__t").select(key, "__shard"))
     crowd = visits.groupBy("__shard").agg(F.count("*").alias("__visits")).withColumn("__blocks", F.expr(f"cast((__visits - 1) div {block} + 1 as int)"))
