@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm.abuse import INSULTS, Channel, Judge, lattice, score_documents, viterbi
+from trajecta.llm.abuse import _KINDS, _TOKENS, INSULTS, KINDS, Channel, Judge, _parser, _spellings, kinds, lattice, score_documents, viterbi
 from trajecta.llm.defects import broken_answers, copied, ends_early, is_empty, language, patch_ends_early
 
 GOOD = "HYPOTHESIS: the cache in a/b_{i}.py keeps entry {i} across calls.\nREASONING: The report names entry {i} twice and nothing else.\nCHECK: run `pytest tests/test_{i}.py`"
@@ -108,6 +108,24 @@ def test_scores(spark):
     assert score_documents(docs.limit(0), "id", "t", labels, "text", "category").count() == 0
 
 
+def test_every_sentence_is_scored_in_full():
+    judge = Judge(Channel(WORDS), [])
+    for told in ("You are too stupid to write code.", "How dumb are you?", "you are too dumb to read"):
+        assert judge.score(told.lower()) >= 0.5
+    # words alone may reach the bound, where the fitted weights say so
+    judge.words, judge.pairs = {"zorp": 2.0}, {("zorp", "zarp"): 2.0}
+    assert judge.score("a zorp") < 0.5 <= judge.score("a zorp zarp")
+
+
+def test_gate_loses_no_match():
+    for k, (pattern, _) in KINDS.items():
+        for x in random.Random(1).choices(_spellings(_parser.parse(pattern)), k=300):
+            for fill in ("", "x", "x y"):
+                s = f"well, {x} so".replace("\0", fill).replace("\1", "")
+                assert (k in kinds(s, _TOKENS.findall(s))) == bool(_KINDS[k].search(s))
+    assert "insult" in kinds("that idiot's code", _TOKENS.findall("that idiot's code"))
+
+
 def test_held_out_accuracy(spark, sf):
     rows = [(r["text"], r["category"] != "none") for r in spark.read.parquet(f"{sf}/review_labels.parquet").filter("category is not null").collect()]
     random.Random(1).shuffle(rows)

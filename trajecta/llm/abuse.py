@@ -7,7 +7,9 @@ import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
-from itertools import groupby
+from itertools import groupby, product
+from re import _constants as _C
+from re import _parser
 
 import numpy as np
 import pandas as pd
@@ -66,15 +68,52 @@ KINDS: dict[str, tuple[str, float]] = {
     "moderation": (r"\bmoderat(?:or|ion|ed|ing)\b|\b(?:block ?list|denylist|filter|classifier|detector)\b.{0,40}\b(?:porn|abuse|hate|hateful|abusive|sites?|speech|words?|terms?)\b|\b(?:porn|abuse|hate|hate-speech|hateful|toxicity|profanity) (?:\w+ )?(?:filter|classifier|detector|test|comments?|sites? (?:is|are))\b|\bpenetration tests?\b|\bexplicit (?:wait|cast|lock)\b|\bsex column\b", -7.0),
 }
 _KINDS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
-#: Words of which each pattern with a weight above 1 needs one, beside insults, aimed and explicit words; without any, no pattern is tried.
-_PHRASES = (
-    "fuck fucking kiss lick screw shut stfu hell piss bullshit shit shines fresse callate gueule ferme boca degage largate desaparece verschwinde verpiss holle du "
-    "kys kill die dead jump choke burn burns existing better miss hang hope wish life slit break smash beat live sleep work address pay regret bleed suffer punch watch hurt throat come meet strangle shoot "
-    "crawl school kindergarten cave brain dropped dense ashamed mother keyboard sick nobody everyone space oxygen air uninstall piece pedazo espece belong trust steal hates send ban gas brains met typical breed pure clean free "
-    "allowed women men woman man kind animals fora echarlos gehoren gehort fuera dehors subhumans country thrown sex cam naked thighs rode bed mouth lap came dick ass rack suck spread sit touch inch urself disease plague weight inferior lixo basura escoria"
-).split()
-_TRIGGERS = frozenset((*_PHRASES, *INSULTS, *AIMED, *EXPLICIT, *(f"{x}{e}" for x in (*INSULTS, *AIMED, *EXPLICIT) for e in ("s", "es", "n", "e")), "brain", *_GROUP[3:-1].split("|")))
-_ELSEWHERE = re.compile("|".join(OTHER_SCRIPTS))
+#: Words too common to be what a pattern is looked up by, where it has another.
+_COMMON = frozenset("a an the this that these those such is are was were be you your they them i my me of in on to for from with and or not all any every have has had how just should go so as like it get come us our".split())
+
+
+def _spellings(items) -> list[str]:
+    """All texts that a parsed pattern stands for, with \\0 for what is open and \\1 for a word boundary."""
+    out = [""]
+    for op, arg in items:
+        if op is _C.LITERAL:
+            ways = [chr(arg)]
+        elif op is _C.AT:
+            ways = ["\1" if arg is _C.AT_BOUNDARY else ""]
+        elif op is _C.SUBPATTERN:
+            ways = _spellings(arg[3])
+        elif op is _C.BRANCH:
+            ways = [x for branch in arg[1] for x in _spellings(branch)]
+        elif op is _C.IN and all(o is _C.LITERAL for o, _ in arg):
+            ways = [chr(c) for _, c in arg]
+        elif op is _C.MAX_REPEAT and arg[1] <= 2:
+            once, ways = _spellings(arg[2]), []
+            for n in range(arg[0], arg[1] + 1):
+                ways += ["".join(x) for x in product(once, repeat=n)]
+        else:
+            ways = [""] if op in (_C.ASSERT, _C.ASSERT_NOT) else ["\0"]
+        out = [x + y for x in out for y in ways]
+    return out
+
+
+def _gate() -> tuple[dict[str, tuple[str, ...]], dict[str, re.Pattern]]:
+    """(kinds by word, texts by kind): whatever a kind's pattern matches has one of its words as a whole word, or one of its texts.
+
+    Derived from the patterns themselves, so that no match is lost: of each spelling its rarest word between boundaries.
+    """
+    by_word, by_text = {}, {}
+    for kind, (pattern, _) in KINDS.items():
+        for x in _spellings(_parser.parse(pattern)):
+            words = re.findall(r"(?<=[^\w\0])[^\W_]+(?=[^\w\0])", x)
+            if words:
+                by_word.setdefault(max(words, key=lambda w: (w not in _COMMON, len(w))), set()).add(kind)
+            else:
+                by_text.setdefault(kind, set()).add(max(re.split(r"[\0\1]", x), key=len))
+    return {w: tuple(ks) for w, ks in by_word.items()}, {k: re.compile("|".join(map(re.escape, sorted(xs)))) for k, xs in by_text.items()}
+
+
+_BY_WORD, _BY_TEXT = _gate()
+_ASCII_TEXT = {k: any(x.isascii() for x in p.pattern.split("|")) for k, p in _BY_TEXT.items()}
 _TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)?|#")
 _CODE = re.compile(
     r"`[^`\n]*`|(?<!\S)(?:[^\s/\\=<>{}\[\]_]*+(?:[/\\=<>{}\[\]]|_\w)|[^\s.]*+(?:\.(?!\w\w)[^\s.]*+)*+\.\w\w)\S*|\b[A-Za-z]\w*+\(\)|\b[0-9a-f]{16,}\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"
@@ -205,10 +244,20 @@ _ALIKE = {ord(a): b for a, b in ALIKE.items()}
 _LOOK = re.compile("[" + "".join(ALIKE) + "]+")
 
 
+def kinds(sentence: str, words: Sequence[str]) -> list[str]:
+    """The kinds whose patterns are found in a restored sentence of these words; only those are tried that can be."""
+    runs = {y for x in words for y in (x, *x.split("'"))} if "'" in sentence else set(words)
+    tried = {k for w in _BY_WORD.keys() & runs for k in _BY_WORD[w]}
+    for k, p in _BY_TEXT.items():
+        if k not in tried and (_ASCII_TEXT[k] or not sentence.isascii()) and p.search(sentence):
+            tried.add(k)
+    return [k for k in tried if _KINDS[k].search(sentence)]
+
+
 def features(sentence: str) -> list[str]:
     """Kinds found, words and word pairs of a restored sentence, each once."""
     words = _TOKENS.findall(sentence)
-    return [f"kind:{k}" for k, p in _KINDS.items() if p.search(sentence)] + list({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
+    return [f"kind:{k}" for k in kinds(sentence, words)] + list({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
 
 
 class Judge:
@@ -232,20 +281,23 @@ class Judge:
             err = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y
             w -= rate * (x.T @ err / len(seen) + pull * (w - prior))
             bias -= rate * (err.mean() + 0.02 * (bias + 3.0))
-        self.weights, self.bias = {f: float(v) for f, v in zip(names, w) if abs(v) > 1e-4}, float(bias)
+        self.bias, self.kinds, self.words, self.pairs = float(bias), {}, {}, {}
+        for f, v in zip(names, w.tolist()):
+            if abs(v) > 1e-4:
+                if f.startswith("kind:"):
+                    self.kinds[f[5:]] = v
+                elif " " in f:
+                    self.pairs[tuple(f.split(" "))] = v
+                else:
+                    self.words[f] = v
 
     def score(self, restored: str) -> float:
         """The score of the worst sentence, from 0 to 1."""
         worst = -30.0
         for m in _SENTENCE.finditer(restored):
-            s, weight = m[0], self.weights.get
-            words = _TOKENS.findall(s)
-            if _TRIGGERS.isdisjoint(words) and (s.isascii() or not _ELSEWHERE.search(s)):
-                # without a kind only single words speak, which never reach the bound
-                z = sum(map(weight, self.weights.keys() & words))
-                worst = max(worst, min(self.bias + z, -0.5))
-            else:
-                worst = max(worst, self.bias + sum(weight(f, 0.0) for f in features(s)))
+            words = _TOKENS.findall(m[0])
+            z = self.bias + sum(self.kinds.get(k, 0.0) for k in kinds(m[0], words)) + sum(map(self.words.get, self.words.keys() & words))
+            worst = max(worst, z + sum(map(self.pairs.get, self.pairs.keys() & zip(words, words[1:]))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, worst))))
 
 
