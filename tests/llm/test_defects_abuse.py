@@ -126,6 +126,16 @@ def test_gate_loses_no_match():
     assert "insult" in kinds("that idiot's code", _TOKENS.findall("that idiot's code"))
 
 
+def test_code_hides_no_abuse():
+    ch = Channel(WORDS | {"loser": 12.0})
+    judge = Judge(ch, [])
+    assert ch.restore("you are a l_o_s_e_r") == "you are a loser"
+    for told in ("you are a l_o_s_e_r!", "you are an _idiot_ again", "_you idiot_", "you stupid moron/idiot", "<b>idiot</b>", "you idiot.Go away", "you 1d10t/m0r0n", "YouIdiot", "you <i class='x'>clown</i>"):
+        assert judge.score(ch.restore(told)) >= 0.5, told
+    for code in ("src/a_b/main.py", "x=f(y)", "List<String>", "java.util.Map", "HashMap", "load_1()", "a/b/c/d", "`you idiot`"):
+        assert ch.restore(code) == "#", code
+
+
 def test_held_out_accuracy(spark, sf):
     rows = [(r["text"], r["category"] != "none") for r in spark.read.parquet(f"{sf}/review_labels.parquet").filter("category is not null").collect()]
     random.Random(1).shuffle(rows)

@@ -118,6 +118,10 @@ _TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)?|#")
 _CODE = re.compile(
     r"`[^`\n]*`|(?<!\S)(?:[^\s/\\=<>{}\[\]_]*+(?:[/\\=<>{}\[\]]|_\w)|[^\s.]*+(?:\.(?!\w\w)[^\s.]*+)*+\.\w\w)\S*|\b[A-Za-z]\w*+\(\)|\b[0-9a-f]{16,}\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"
 )
+#: What looks like code and isn't: underscores and tags around words, and letters spaced by underscores.
+_EDGES = re.compile(r"(?<![^\W_])_+(?=[^\W_])|(?<=[^\W_])_+(?![^\W_])")
+_TAGS = re.compile(r"[ \t]?</?(?:[abipqsu]|em|strong|mark|small|big|br|hr|div|span|li|ul|ol|h[1-6]|sub|sup|del|ins|font|blockquote|t[drh]|table)(?:\s[^<>\n]*)?/?>[ \t]*", re.I)
+_UNDERSCORED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$€|+!])(?:_(?:[^\W_]|[@$€|+!])){2,}(?![^\W_])")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
 _SPACED = re.compile(r"(?<![\w.*-])(?:\w([ .\-_*~]{1,2}))(?:\w\1){1,}\w(?![\w*]|['.-]\w)")
 _ODD = re.compile(r"(?<![\w@$*])(?=[\w@$!|+€*]*[^\W\d_])[\w@$!|+€*]*(?:[0-9@$!|+€*](?=[\w@$!|+€*]*[^\W\d_])|(?<=[^\W\d_])[0-9@$|€*]|([^\W\d_])\1\1)[\w@$|+€*]*")
@@ -200,7 +204,10 @@ class Channel:
         self.hidden: dict[tuple[str, str, int], list[str]] = {}
         for w in self.named:
             self.hidden.setdefault((w[0], w[-1], len(w)), []).append(w)
+        #: Words that no mask may hide.
+        self.shown = self.named | {w for w, ks in _BY_WORD.items() if w not in _COMMON and any(KINDS[k][1] > 1 for k in ks)}
         self.token = lru_cache(maxsize=1 << 16)(self._token)
+        self.code = lru_cache(maxsize=1 << 16)(self._code)
 
     def _token(self, token: str) -> str:
         t = token.lower()
@@ -228,13 +235,37 @@ class Channel:
         lead, word, _ = max(known or read[:1], key=lambda x: x[2])
         return lead + word
 
+    def _code(self, token: str) -> str:
+        """`#` for code; its words if one of them, decoded, is one that patterns look for. What stands in backticks is quoted and stays code."""
+        if token[0] == "`":
+            return "#"
+        parts = [x for x in re.split(r"[^\w@$!|+€*'’]+|_+", token) if x]
+        if len(parts) > 2 and all(len(x.rstrip("!|+*")) == 1 for x in parts):
+            word = self._hidden("".join(parts))
+            return word or "#"
+        words = []
+        for x in parts:
+            w = _ODD.sub(lambda m: self.token(m[0]), x).lower()
+            words += [w] if re.split("['’]", w)[0] in self.shown else re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", x).lower().split()
+        return " ".join(words) if any(re.split("['’]", w)[0] in self.shown for w in words) else "#"
+
+    def _hidden(self, letters: str) -> str | None:
+        """The word to hide that spaced letters spell, if they do."""
+        steps = lattice(letters.lower().rstrip("!|+*"))
+        word = viterbi(steps, self.lm)[0] if steps else ""
+        return word if word in self.named else None
+
     def restore(self, text: str) -> str:
         """Lower case without accents, code masked, obfuscated words decoded."""
         plain = text.translate(_INVISIBLE)
         if not plain.isascii():
             plain = re.sub(r"\w+", lambda m: m[0].translate(_ALIKE) if re.search("[A-Za-z]", m[0]) and not m[0].isascii() or _LOOK.fullmatch(m[0]) else m[0], plain)
             plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c) or "ぁ" <= c) if not plain.isascii() else plain
-        plain = _CODE.sub("#", plain)
+        if "_" in plain:
+            plain = _UNDERSCORED.sub(lambda m: self._hidden(m[0].replace("_", "")) or m[0], plain)
+            plain = _EDGES.sub("", plain)
+        plain = _TAGS.sub(" ", plain) if "<" in plain else plain
+        plain = _CODE.sub(lambda m: self.code(m[0]), plain)
         plain = _SPACED.sub(self._joined, plain)
         plain = _ODD.sub(lambda m: self.token(m[0]), plain)
         return plain.lower().replace("’", "'")
