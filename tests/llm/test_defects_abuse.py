@@ -59,6 +59,25 @@ def test_defects(spark):
     assert broken_answers(df.limit(0), "id", "type", "messages").count() == 0
 
 
+AUDIT = "VERDICT: entry {i} is likely.\nSUPPORT: The report names entry {i} twice.\nFLAW: It rests on one name of {i}.\nNEXT CHECK: read a/b_{i}.py, lines 1 to 2"
+
+
+def test_parts_are_learned_from_distinct_answers_of_a_type(spark):
+    rows = [sample(i, AUDIT.format(i=i), kind="audit") for i in range(40)]
+    # one answer without its last part, copied in other forms until it is a third of all
+    short = AUDIT.format(i=77).split("\nNEXT")[0]
+    rows += [sample(100 + i, short.upper() if i % 2 else short.replace(":", " :"), kind="audit") for i in range(20)]
+    rows.append(sample(200, AUDIT.format(i=5).split("\nNEXT")[0], kind="audit"))
+    # one type may leave out a part that another always has
+    rows += [sample(300 + i, GOOD.format(i=i) if i % 2 else GOOD.format(i=i).split("\nCHECK")[0], kind="short") for i in range(40)]
+    rows += [sample(400 + i, GOOD.format(i=i), kind="long") for i in range(40)] + [sample(500, GOOD.format(i=3).split("\nCHECK")[0], kind="long")]
+    # parts count by name: as many as others have, but not the same ones
+    rows.append(sample(501, "REASONING: The report names it.\nCHECK: run `pytest tests/test_1.py`", kind="short"))
+    df = spark.createDataFrame(rows, f"id long, type string, messages {MESSAGES}")
+    got = {r["id"]: r["defect"] for r in broken_answers(df, "id", "type", "messages").collect()}
+    assert got == dict.fromkeys([*range(100, 120), 200, 500, 501], "truncated")
+
+
 def test_defect_parts():
     assert is_empty("VERDICT:\nFLAW: -") and not is_empty("VERDICT: good\nFLAW: none.")
     assert language("`code_only()` a/b.py 12") is None and language("Die Prüfung fehlt in der Zeile und das ist nicht gut") == "de"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -154,26 +156,47 @@ def bands(hashes: np.ndarray) -> list[int]:
     return pd.util.hash_array(np.array([f"{i}|" + "|".join(map(str, r)) for i, r in enumerate(low)], dtype=object)).astype(np.int64).tolist()
 
 
-def look(kind: str | None, messages) -> tuple[str | None, str | None, int, str, bool]:
-    """(defect or None, family, parts, opening, declines) of one sample by itself."""
+def look(kind: str | None, messages) -> tuple[str | None, str | None, int, str, bool, int]:
+    """(defect or None, family, parts as bits, opening, declines, text) of one sample by itself; text is a hash of the answer's words."""
     turns = [(str(m["role"] or "").strip().lower(), m["content"]) for m in (messages if messages is not None else ()) if m is not None]
     if not turns or turns[-1][0] not in ANSWERS or is_empty(turns[-1][1]):
-        return "empty", None, 0, "", False
+        return "empty", None, 0, "", False, 0
     answer = turns[-1][1]
     asked = next((c or "" for r, c in reversed(turns[:-1]) if r in ASKS), "")
     named = [_LABEL[re.sub(r"\s+", " ", x.lower())] for x in _HEAD.findall(answer)]
     family = named[0][0] if named else None
-    parts = len({p for k, p in named if k == family})
-    if parts < 2 and copied(answer, asked):
-        return "copied", None, 0, "", False
+    parts = {p for k, p in named if k == family}
+    if len(parts) < 2 and copied(answer, asked):
+        return "copied", None, 0, "", False, 0
     said = opening(answer)
     declines = bool(DECLINING.search(said))
     theirs, ours = language(asked), language(answer)
     if theirs and ours and theirs != ours:
-        return "other_language", None, 0, "", False
+        return "other_language", None, 0, "", False, 0
+    text = int.from_bytes(blake2b(" ".join(re.findall(r"[^\W_]+", answer.lower())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
     if re.search(r"(?m)^(?:diff --git|@@ -|--- a/)", answer):
-        return ("truncated" if patch_ends_early(answer) else None), "patch", 9, "", False
-    return (None if not ends_early(answer) else "truncated"), family, parts, said, declines
+        return ("truncated" if patch_ends_early(answer) else None), "patch", 0, "", False, text
+    return (None if not ends_early(answer) else "truncated"), family, sum(1 << p for p in parts), said, declines, text
+
+
+def needed(sizes: Mapping[tuple[str | None, str, int], int], always: float) -> tuple[dict[tuple[str | None, str], int], dict[str, int]]:
+    """The parts (as bits) that `always` of the distinct answers have, of each type and family, and of each family in any type.
+
+    sizes: distinct answers by type, family and parts. A family that is rare in a type (at most 1 - always of its
+    answers, such as refusals under a wrong label) says nothing about the type; there what the family needs anywhere holds.
+    """
+    types, own, anywhere = Counter(), {}, {}
+    for (kind, family, parts), n in sizes.items():
+        types[kind] += n
+        if family in PARTS:
+            own.setdefault((kind, family), Counter())[parts] += n
+            anywhere.setdefault(family, Counter())[parts] += n
+
+    def need(found: Counter) -> int:
+        bits = range(max(map(len, PARTS.values())))
+        return sum(1 << i for i in bits if sum(n for parts, n in found.items() if parts >> i & 1) >= always * found.total())
+
+    return {k: need(x) for k, x in own.items() if x.total() > (1 - always) * types[k[0]]}, {f: need(x) for f, x in anywhere.items()}
 
 
 def broken_answers(samples: DataFrame, row_id: str, kind: str, messages: str, recurring: int = 3, always: float = 0.95) -> DataFrame:
@@ -184,35 +207,32 @@ def broken_answers(samples: DataFrame, row_id: str, kind: str, messages: str, re
     Refusals show in the corpus: the openings (first sentences) of answers without the parts of an answer are
     clustered by MinHash over runs of five words, candidates of a band verified at a Jaccard similarity of 0.8, and a
     cluster is a refusal template if it occurs under at least `recurring` unrelated prompts without a word of code or
-    if one of its openings declines in words. Which parts an answer needs also comes from the corpus: as many as
-    `always` of the answers of its family have.
+    if one of its openings declines in words. Which parts an answer needs also comes from the corpus: each that `always`
+    of the distinct answers of its type and family have, copies and answers that are defective by themselves aside.
 
     Only distinct openings meet, in equi-joins on bands; hot templates are one row there. Null messages, no messages
     and a last turn by the user are empty answers. Repeated samples each come out. An empty table gives no rows.
     """
     k = dict(samples.dtypes)[row_id]
-    slim = samples.select(F.col(row_id).alias("__id"), F.col(kind).alias("__kind"), F.col(messages).alias("__m"))
+    slim = samples.select(F.col(row_id).alias("__id"), F.col(kind).cast("string").alias("__kind"), F.col(messages).alias("__m"))
     asked = F.transform(F.filter("__m", lambda m: F.lower(F.trim(m["role"])).isin(*ASKS)), lambda m: m["content"])
     slim = slim.withColumn("__asked", F.xxhash64(F.coalesce(F.try_element_at(asked, F.lit(-1)), F.lit(""))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [look(t, m) for t, m in zip(b["__kind"], b["__m"])]
-            yield pd.DataFrame({"__id": b["__id"], "__asked": b["__asked"]} | {n: [g[i] for g in got] for i, n in enumerate(("defect", "family", "parts", "said", "declines"))})
-
-    seen = cut(spread(slim).mapInPandas(scan, f"__id {k}, __asked bigint, defect string, family string, parts int, said string, declines boolean"))
-    sizes = seen.filter("family is not null and family <> 'patch'").groupBy("family", "parts").agg(F.count("*").alias("n")).collect()  # families x parts
-    need = {}
-    for family in PARTS:
-        total = sum(r["n"] for r in sizes if r["family"] == family)
-        for p in range(1, len(PARTS[family]) + 1):
-            if total and sum(r["n"] for r in sizes if r["family"] == family and r["parts"] >= p) >= always * total:
-                need[family] = p
+            yield pd.DataFrame({"__id": b["__id"], "__kind": b["__kind"], "__asked": b["__asked"]} | {n: [g[i] for g in got] for i, n in enumerate(("defect", "family", "parts", "said", "declines", "text"))})
+
+    seen = cut(spread(slim).mapInPandas(scan, f"__id {k}, __kind string, __asked bigint, defect string, family string, parts int, said string, declines boolean, text bigint"))
+    whole = seen.filter("defect is null and family is not null").groupBy("__kind", "family", "parts").agg(F.countDistinct("text").alias("n"))
+    own, anywhere = needed({(r["__kind"], r["family"], r["parts"]): r["n"] for r in whole.collect()}, always)  # types x families x parts
     enough: Column = F.lit(0)
-    for family, p in need.items():
-        enough = F.when(F.col("family") == family, p).otherwise(enough)
+    for family, bits in anywhere.items():
+        enough = F.when(F.col("family") == family, bits).otherwise(enough)
+    for (of, family), bits in own.items():
+        enough = F.when(F.col("__kind").eqNullSafe(of) & (F.col("family") == family), bits).otherwise(enough)
     # a patch needs no parts, an answer without any label never has enough
-    lacking = F.when(F.col("family") == "patch", False).otherwise(F.col("family").isNull() | (F.col("parts") < enough))
+    lacking = F.when(F.col("family") == "patch", False).otherwise(F.col("family").isNull() | (F.col("parts").bitwiseAND(enough) != enough))
     seen = seen.withColumn("lacking", lacking)
     refusals = refusing(seen.filter("lacking and said <> '' and (defect is null or defect = 'truncated')"), recurring)
     out = seen.join(refusals.withColumn("refusal", F.lit(True)), "said", "left")
