@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm.abuse import _KINDS, _TOKENS, INSULTS, KINDS, Channel, Judge, _parser, _spellings, kinds, lattice, score_documents, viterbi
+from trajecta.llm.abuse import _KINDS, _TOKENS, INSULTS, KINDS, OTHER_SCRIPTS, Channel, Judge, _parser, _spellings, kinds, lattice, score_documents, viterbi
 from trajecta.llm.defects import broken_answers, copied, ends_early, is_empty, language, patch_ends_early
 
 GOOD = "HYPOTHESIS: the cache in a/b_{i}.py keeps entry {i} across calls.\nREASONING: The report names entry {i} twice and nothing else.\nCHECK: run `pytest tests/test_{i}.py`"
@@ -155,6 +155,21 @@ def test_code_hides_no_abuse():
         assert ch.restore(code) == "#", code
 
 
+def test_words_of_other_scripts_are_found():
+    import unicodedata
+
+    ch = Channel(WORDS)
+    judge = Judge(ch, [])
+    for word in OTHER_SCRIPTS:
+        for form in ("NFC", "NFD"):
+            assert judge.score(ch.restore(unicodedata.normalize(form, f"{word}. The cache is full."))) >= 0.5, word
+    for told in ("Ты cука", "СУКА", "ﾊﾞｶ", "バカヤロー"):
+        assert judge.score(ch.restore(told)) >= 0.5, told
+    for fine in ("Шкура барсука.", "バカンスです。", "전원이 꺼졌다.", "йод и ёж"):
+        assert judge.score(ch.restore(fine)) < 0.5, fine
+    assert ch.restore("mоrоn imbécil") == "moron imbecil"
+
+
 def test_held_out_accuracy(spark, sf):
     rows = [(r["text"], r["category"] != "none") for r in spark.read.parquet(f"{sf}/review_labels.parquet").filter("category is not null").collect()]
     random.Random(1).shuffle(rows)

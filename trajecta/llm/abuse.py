@@ -36,12 +36,15 @@ QUALITIES = "worthless pathetic clueless spineless stupid useless disgusting mis
 # Explicit words.
 EXPLICIT = "porn horny nudes tits cock pussy boobs blowjob hardcore orgasm masturbate masturbating undress erotic dildo cumshot handjob anal xxx milf".split()
 # Insults in other scripts, as stems.
-OTHER_SCRIPTS = "идиот дурак тупиц мраз ублюд заткнись свол дебил урод сука шлюх 白痴 蠢货 傻瓜 傻逼 滚出 废物 去死 笨蛋 贱人 婊子 馬鹿野 バカ 死ね 消えろ クズ 役立たず 間抜け ゴミ野郎".split()
+OTHER_SCRIPTS = "идиот дурак тупиц мраз ублюд заткнись свол дебил урод сука шлюх 白痴 蠢货 傻瓜 傻逼 滚出 废物 去死 笨蛋 贱人 婊子 馬鹿野 バカ 死ね 消えろ クズ 役立たず 間抜け ゴミ野郎 바보 멍청이 병신 개새끼 미친놈 닥쳐 꺼져라 뒈져 죽어라".split()
+# stems of alphabets and kana start words, which is no vacation (バカンス)
+_STEMS = "|".join(("(?<![а-яё])" if "а" <= x[0] <= "я" else "(?<![ァ-ヺー])" if "ァ" <= x[0] <= "ヺ" else "") + x + ("(?!ンス)" if x == "バカ" else "") for x in OTHER_SCRIPTS)
+_ELSEWHERE = re.compile(_STEMS)
 _I, _A, _Q, _E = ("|".join(re.escape(x) for x in xs) for xs in (INSULTS, AIMED, QUALITIES, EXPLICIT))
 _GROUP = r"(?:people|women|men|foreigners|immigrants|migrants|refugees|cripples|gays|jews|muslims|christians|blacks|whites|arabs|asians|old people|disabled)"
 #: Kinds of language as patterns over restored text (lower case, no accents, `#` for code), with the weight they start from.
 KINDS: dict[str, tuple[str, float]] = {
-    "insult": (rf"\b(?:{_I})(?:s|es|n|e)?\b|(?:{'|'.join(OTHER_SCRIPTS)})", 5.0),
+    "insult": (rf"\b(?:{_I})(?:s|es|n|e)?\b|(?:{_STEMS})", 5.0),
     "aimed": (
         rf"\b(?:{_Q})(?: little| old| piece of)? (?:{_A})s?\b|\b(?:you|your|resident|such an?|absolute|lying little|little) (?:\S+ ){{0,2}}(?:{_A})s?\b|\b(?:sind|son|sao|sont|sono) (?:\w+ )?(?:ungeziefer|basura|lixo|escoria|des ordures|spazzatura|abschaum|mull)\b"
         rf"|\b(?:is|are|was|were) (?:an? )?(?:{_Q}) (?:{_A})s?\b|\bonly an? (?:{_A}) like\b|\bdu (?:dumme[sr]?|bloede[sr]?|blode[sr]?)\b|\blike (?:a |an )?(?:{_A})s?\b",
@@ -259,8 +262,10 @@ class Channel:
         """Lower case without accents, code masked, obfuscated words decoded."""
         plain = text.translate(_INVISIBLE)
         if not plain.isascii():
-            plain = re.sub(r"\w+", lambda m: m[0].translate(_ALIKE) if re.search("[A-Za-z]", m[0]) and not m[0].isascii() or _LOOK.fullmatch(m[0]) else m[0], plain)
-            plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c) or "ぁ" <= c) if not plain.isascii() else plain
+            # composed, as the lists are: width and look-alikes don't count, and kana, Hangul and Cyrillic keep their marks
+            plain = re.sub(r"\w+", _latin, unicodedata.normalize("NFKC", plain))
+            if not plain.isascii():
+                plain = unicodedata.normalize("NFC", _ACCENTED.sub(r"\1", unicodedata.normalize("NFKD", plain)))
         if "_" in plain:
             plain = _UNDERSCORED.sub(lambda m: self._hidden(m[0].replace("_", "")) or m[0], plain)
             plain = _EDGES.sub("", plain)
@@ -273,6 +278,23 @@ class Channel:
 
 _ALIKE = {ord(a): b for a, b in ALIKE.items()}
 _LOOK = re.compile("[" + "".join(ALIKE) + "]+")
+_ACCENTED = re.compile("([^ぁ-ヿ가-힣ᄀ-ᇿа-яА-ЯёЁ])[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+#: The Cyrillic letters that Latin ones are put in place of.
+_BACK = {ord(b): a for a, b in zip("аеорсухікмтвн", "aeopcyxikmtbh")}
+
+
+def _latin(m: re.Match) -> str:
+    """A word with look-alikes in Latin letters, unless it is one that OTHER_SCRIPTS lists, be it with Latin look-alikes."""
+    word = m[0]
+    if word.isascii():
+        return word
+    mixed = re.search("[A-Za-z]", word)
+    low = word.lower()
+    if _ELSEWHERE.search(low):
+        return word
+    if mixed and _ELSEWHERE.search(low.translate(_BACK)):
+        return low.translate(_BACK)
+    return word.translate(_ALIKE) if mixed or _LOOK.fullmatch(word) else word
 
 
 def kinds(sentence: str, words: Sequence[str]) -> list[str]:
