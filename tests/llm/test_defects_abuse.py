@@ -170,6 +170,12 @@ def test_words_of_other_scripts_are_found():
     assert ch.restore("mоrоn imbécil") == "moron imbecil"
 
 
+def test_long_tokens_are_restored():
+    ch = Channel(WORDS)
+    for n in (5, 50, 5000):
+        assert ch.restore("you " + "".join(c * n for c in "idiot")) == "you idiot"
+
+
 def test_held_out_accuracy(spark, sf):
     rows = [(r["text"], r["category"] != "none") for r in spark.read.parquet(f"{sf}/review_labels.parquet").filter("category is not null").collect()]
     random.Random(1).shuffle(rows)

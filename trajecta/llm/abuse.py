@@ -182,19 +182,28 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def viterbi(steps: Sequence[Sequence[tuple[str, float]]], lm: Letters) -> tuple[str, float]:
     """The likeliest word through a lattice: the best way into every state of three letters, step by step."""
     start = "^" * (ORDER - 1)
-    states: dict[str, tuple[float, str]] = {start: (0.0, "")}
+    states: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}  # what was said is a chain, so that long tokens take linear time
     for options in steps:
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple | None]] = {}
         for past, (cost, said) in states.items():
             for letters, channel in options:
                 total, at = cost + channel, past
                 for c in letters:
                     total, at = total + lm.score(at, c), at[1:] + c
                 if at not in after or total > after[at][0]:
-                    after[at] = total, said + letters
+                    after[at] = total, (said, letters)
         states = after
     # a whole known word is likelier than its letters say
-    return max(((said, cost + lm.score(past, "$") + (4.0 if said in lm.words else 0.0)) for past, (cost, said) in states.items()), key=lambda x: x[1])
+    told = ((_told(said), cost + lm.score(past, "$")) for past, (cost, said) in states.items())
+    return max(((said, cost + (4.0 if said in lm.words else 0.0)) for said, cost in told), key=lambda x: x[1])
+
+
+def _told(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, letters = chain
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 class Channel:
@@ -219,8 +228,6 @@ class Channel:
             t = t.strip("*")
             fits = [w for w in self.hidden.get((t[0], t[-1], len(t)), ()) if all(a in ("*", b) for a, b in zip(t, w))]
             return max(fits, key=lambda w: (self.lm.words.get(w, 0.0), w)) if fits else token
-        if len(t) > 24:
-            return token
         steps = lattice(t.rstrip("!|+"))
         word = viterbi(steps, self.lm)[0] if steps else token
         # a number with a letter, or a mention, is a word only if it is one to hide
