@@ -1,11 +1,12 @@
 """Defective answers and abusive language: cases with known results, and held-out accuracy."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm.abuse import _KINDS, _TOKENS, INSULTS, KINDS, OTHER_SCRIPTS, Channel, Judge, _parser, _spellings, kinds, lattice, score_documents, viterbi
+from trajecta.llm.abuse import OTHER_SCRIPTS, Channel, Lexicon, fit, lattice, letter_counts, rarities, score_documents, viterbi, word_counts
 from trajecta.llm.defects import broken_answers, copied, ends_early, is_empty, language, patch_ends_early
 
 GOOD = "HYPOTHESIS: the cache in a/b_{i}.py keeps entry {i} across calls.\nREASONING: The report names entry {i} twice and nothing else.\nCHECK: run `pytest tests/test_{i}.py`"
@@ -87,14 +88,26 @@ def test_defect_parts():
     assert patch_ends_early("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a()\n+b(")
 
 
-WORDS = {w: 12.0 for w in INSULTS} | {w: 5.0 for w in "the a you are and everyone knows this thread always was clown pathetic worthless trash hate with read line code cache".split()}
+@pytest.fixture(scope="module")
+def taught(spark, sf):
+    """Channel, labels as restored sentences with verdicts, and word counts, of the small tables."""
+    docs, counts = spark.read.parquet(f"{sf}/documents.parquet"), word_counts(spark.read.parquet(f"{sf}/documents.parquet"), "text")
+    channel = Channel(letter_counts(counts))
+    rows = spark.read.parquet(f"{sf}/review_labels.parquet").filter("category is not null and text is not null").orderBy("text").collect()
+    snippets = [(list(channel.sentences(r["text"])), r["category"] != "none") for r in rows]
+    return channel, snippets, {r["w"]: r["n"] for r in counts.collect()}, docs.count()
 
 
-def test_channel_restores():
-    ch = Channel(WORDS | {"clown": 12.0, "worthless": 12.0})
+def fitted(taught, snippets=None):
+    snippets = taught[1] if snippets is None else snippets
+    return fit(snippets, Lexicon(), rarities(snippets, *taught[2:]))
+
+
+def test_channel_restores(taught):
+    ch = taught[0]
     for told, meant in (
         ("you 1d10t", "you idiot"),
-        ("a c l o w n, always", "a clown, always"),
+        ("a c l o w n, always", "a clown always"),
         ("d.i.m.w.i.t and", "dimwit and"),
         ("idiiiiot", "idiot"),
         ("j*****s", "jackass"),
@@ -103,86 +116,110 @@ def test_channel_restores():
         ("W0R7HL355", "worthless"),
         ("you b@$tard", "you bastard"),
         ("ｃｌｏｗｎ", "clown"),
-        ("@harlode: hi", "@harlode: hi"),
+        ("mоrоn imbécil", "moron imbecil"),
+        ("XXX", "xxx"),
+        ("you are a l_o_s_e_r", "you are a loser"),
     ):
         assert ch.restore(told) == meant
-    for harmless in ("read line 1178 of v2", "0.6.5 and 7", "at 12:30 code", "a b"):
-        assert ch.restore(harmless) == harmless.lower()
+    for harmless in ("read line 1178 of v2", "0 6 5 and 7", "at 12 30 code", "a b"):
+        assert ch.restore(harmless) == harmless
     assert viterbi(lattice("cl0wn"), ch.lm)[0] == "clown"
+    assert list(ch.sentences("One two. Three!\n\nfour f.x g (five?) six")) == [["one", "two"], ["three"], ["four", "f", "x", "g", "five"], ["six"]]
+    assert list(ch.sentences(" \n ")) == []
 
 
-ABUSE = ["You are a w0rthless idiot and everyone knows it.", "Kys, nobody would miss you.", "Send me your nudes.", "Never trust a Zorblan, they lie and steal.", "Touch this again and I will break your fingers.", "Eres un imbécil.", "Du bist ein I D I O T."]
-FINE = ["Kill the zombie child process.", "I was an idiot for trusting this; my own mistake.", "This stupid cache is garbage.", "The block list for porn sites is loaded here.", "A moderator removed 3 hateful comments.", "Strip the naked pointer.", "", None, "  "]
-
-
-def test_scores(spark):
-    rows = [(i, t) for i, t in enumerate(ABUSE + FINE)] + [(0, ABUSE[0]), (99, "fine line. " * 20_000 + ABUSE[1])]
-    docs = spark.createDataFrame(rows, "id long, t string").withColumn("score", F.lit("clash")).withColumn("source", F.lit("s"))
-    labels = spark.createDataFrame([("You are a clown.", "abuse"), ("The cache is full.", "none"), ("?", None), (None, "hate")], "text string, category string")
-    for lab in (labels, labels.limit(0)):
-        got = score_documents(docs, "id", "t", lab, "text", "category", ["source"]).collect()
-        bad = {r["id"] for r in got if r["score"] >= 0.5}
-        assert bad == {*range(len(ABUSE)), 99} and len(got) == len(rows)
-        assert all(0 <= r["score"] <= 1 for r in got)
-    assert score_documents(docs.limit(0), "id", "t", labels, "text", "category").count() == 0
-
-
-def test_every_sentence_is_scored_in_full():
-    judge = Judge(Channel(WORDS), [])
-    for told in ("You are too stupid to write code.", "How dumb are you?", "you are too dumb to read"):
-        assert judge.score(told.lower()) >= 0.5
-    # words alone may reach the bound, where the fitted weights say so
-    judge.words, judge.pairs = {"zorp": 2.0}, {("zorp", "zarp"): 2.0}
-    assert judge.score("a zorp") < 0.5 <= judge.score("a zorp zarp")
+def test_long_tokens_are_restored(taught):
+    for n in (5, 30, 5000):
+        assert taught[0].restore("you " + "".join(c * n for c in "idiot")) == "you idiot"
 
 
-def test_gate_loses_no_match():
-    for k, (pattern, _) in KINDS.items():
-        for x in random.Random(1).choices(_spellings(_parser.parse(pattern)), k=300):
-            for fill in ("", "x", "x y"):
-                s = f"well, {x} so".replace("\0", fill).replace("\1", "")
-                assert (k in kinds(s, _TOKENS.findall(s))) == bool(_KINDS[k].search(s))
-    assert "insult" in kinds("that idiot's code", _TOKENS.findall("that idiot's code"))
-
-
-def test_code_hides_no_abuse():
-    ch = Channel(WORDS | {"loser": 12.0})
-    judge = Judge(ch, [])
-    assert ch.restore("you are a l_o_s_e_r") == "you are a loser"
-    for told in ("you are a l_o_s_e_r!", "you are an _idiot_ again", "_you idiot_", "you stupid moron/idiot", "<b>idiot</b>", "you idiot.Go away", "you 1d10t/m0r0n", "YouIdiot", "you <i class='x'>clown</i>"):
-        assert judge.score(ch.restore(told)) >= 0.5, told
+def test_code_hides_no_abuse(taught):
+    ch, judge = taught[0], fitted(taught)
+    for told in ("you are a l_o_s_e_r!", "you are an _idiot_ again", "_you idiot_", "you stupid moron/idiot", "<b>you idiot</b>", "you idiot.Go away", "you 1d10t/m0r0n", "YouIdiot", "you <i class='x'>idiot</i>"):
+        assert judge.score(ch.sentences(told)) >= 0.5, told
     for code in ("src/a_b/main.py", "x=f(y)", "List<String>", "java.util.Map", "HashMap", "load_1()", "a/b/c/d", "`you idiot`"):
         assert ch.restore(code) == "#", code
 
 
-def test_words_of_other_scripts_are_found():
-    import unicodedata
-
-    ch = Channel(WORDS)
-    judge = Judge(ch, [])
+def test_words_of_other_scripts_are_found(taught):
+    ch, judge = taught[0], fitted(taught)
     for word in OTHER_SCRIPTS:
         for form in ("NFC", "NFD"):
-            assert judge.score(ch.restore(unicodedata.normalize(form, f"{word}. The cache is full."))) >= 0.5, word
+            assert judge.score(ch.sentences(unicodedata.normalize(form, f"{word}. The cache is full."))) >= 0.5, word
     for told in ("Ты cука", "СУКА", "ﾊﾞｶ", "バカヤロー"):
-        assert judge.score(ch.restore(told)) >= 0.5, told
+        assert judge.score(ch.sentences(told)) >= 0.5, told
     for fine in ("Шкура барсука.", "バカンスです。", "전원이 꺼졌다.", "йод и ёж"):
-        assert judge.score(ch.restore(fine)) < 0.5, fine
-    assert ch.restore("mоrоn imbécil") == "moron imbecil"
+        assert judge.score(ch.sentences(fine)) < 0.5, fine
+
 
+ABUSE = ["You are a w0rthless idiot and everyone knows it.", "Kys, nobody would miss you.", "Send me your nudes.", "Never trust a Zorblan, they lie and steal.", "Touch this again and I will break your fingers.", "Eres un imbécil.", "Du bist ein I D I O T.", "You people should not exist.", "I will find you and stab you.", "Eres una mierda de persona."]
+FINE = ["Kill the zombie child process.", "I was an idiot for trusting this; my own mistake.", "This stupid cache is garbage.", "The block list for porn sites is loaded here.", "A moderator removed 3 hateful comments.", "Strip the naked pointer.", "Thank you for your help, you are great.", "Your patch breaks my tests, could you look at it?", "", None, "  "]
 
-def test_long_tokens_are_restored():
-    ch = Channel(WORDS)
-    for n in (5, 50, 5000):
-        assert ch.restore("you " + "".join(c * n for c in "idiot")) == "you idiot"
+
+def test_scores(spark, sf):
+    rows = [(i, t) for i, t in enumerate(ABUSE + FINE)] + [(0, ABUSE[0]), (99, "fine line. " * 20_000 + ABUSE[1])]
+    docs = spark.createDataFrame(rows, "id long, t string").withColumn("score", F.lit("clash")).withColumn("z", F.lit("s")).withColumn("w", F.lit(1))
+    labels = spark.read.parquet(f"{sf}/review_labels.parquet").select("text", "category").union(spark.createDataFrame([("?", None), (None, "hate")], "text string, category string"))
+    got = score_documents(docs, "id", "t", labels, "text", "category", ["w"]).collect()
+    bad = {r["id"] for r in got if r["score"] >= 0.5}
+    assert bad == {*range(len(ABUSE)), 99} and len(got) == len(rows)
+    assert all(0 <= r["score"] <= 1 for r in got)
+    # without labels the assumed weights stand
+    plain = score_documents(docs, "id", "t", labels.limit(0), "text", "category").collect()
+    assert len(plain) == len(rows) and not {r["id"] for r in plain if r["score"] >= 0.5} & {*range(len(ABUSE), len(ABUSE + FINE))}
+    assert score_documents(docs.limit(0), "id", "t", labels, "text", "category").count() == 0
 
 
-def test_held_out_accuracy(spark, sf):
-    rows = [(r["text"], r["category"] != "none") for r in spark.read.parquet(f"{sf}/review_labels.parquet").filter("category is not null").collect()]
-    random.Random(1).shuffle(rows)
-    ch = Channel(WORDS)
-    judge = Judge(ch, rows[: len(rows) // 2])
-    right = [(judge.score(ch.restore(t)) >= 0.5) == y for t, y in rows[len(rows) // 2 :]]
-    assert sum(right) / len(right) >= 0.97
+def families(snippets):
+    """Snippets by likeness of their sentences, so that one wording is never on both sides of a fold."""
+    firsts, of = [], []
+    bags = [[frozenset(s) for s in said] for said, _ in snippets]
+    for i, (_, bad) in enumerate(snippets):
+        like = lambda r: snippets[r][1] == bad and any(len(a & b) / len(a | b) >= 0.45 for a in bags[r] for b in bags[i])
+        k = next((n for n, r in enumerate(firsts) if like(r)), len(firsts))
+        if k == len(firsts):
+            firsts.append(i)
+        of.append(k)
+    return of
+
+
+def held_out(taught, of, folds=5):
+    """(recall, harmless snippets flagged) of snippets whose group was in no training fold."""
+    groups = list(range(max(of) + 1))
+    random.Random(3).shuffle(groups)
+    fold = {g: n % folds for n, g in enumerate(groups)}
+    found = missed = wrong = 0
+    for n in range(folds):
+        judge = fitted(taught, [x for x, g in zip(taught[1], of) if fold[g] != n])
+        for (said, bad), g in zip(taught[1], of):
+            if fold[g] == n:
+                hit = judge.score(said) >= 0.5
+                found, missed, wrong = found + (hit and bad), missed + (bad and not hit), wrong + (hit and not bad)
+    return found / (found + missed), wrong
+
+
+def test_held_out_accuracy(taught):
+    """Snippets held out at random, then whole wordings held out, which no training snippet shows."""
+    recall, wrong = held_out(taught, list(range(len(taught[1]))))
+    assert recall >= 0.9 and wrong <= 2
+    recall, wrong = held_out(taught, families(taught[1]))
+    assert recall >= 0.65 and wrong <= 5
+
+
+def test_the_lists_alone_find_clearly_less(taught):
+    bad = [said for said, y in taught[1] if y]
+    share = lambda judge: sum(judge.score(said) >= 0.5 for said in bad) / len(bad)
+    assert share(fit([], Lexicon(), {})) < 0.7 and share(fitted(taught)) >= 0.98
+
+
+def test_the_corpus_teaches_words(spark, sf):
+    """A group that no snippet names is learned from the sentences that other words give away."""
+    labels = spark.read.parquet(f"{sf}/review_labels.parquet")
+    rows = [(i, f"The Zorblan are vermin and row {i} is theirs.") for i in range(6)] + [(6, "No Zorblan has the brains to understand row 7.")] + [(10 + i, f"Row {i} has the index of row {i + 1}.") for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    for rounds, want in ((0, set(range(6))), (2, set(range(7)))):
+        got = score_documents(docs, "id", "t", labels, "text", "category", rounds=rounds).collect()
+        assert {r["id"] for r in got if r["score"] >= 0.5} == want
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p5_splits", "p6_found", "p7_ids", "p8_containers", "p9_found", "p1_kept_by_type", "p3_counts", "p4_items", "p6_groups", "p9_rates"])
