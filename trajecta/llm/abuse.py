@@ -26,31 +26,32 @@ ALIKE = dict(zip("аеорсухіјѕԁһкмтвнԛԝγονρτυιαεκχΑ
 # that meet in a sentence weigh, is learned from the labels, from the few weights of PRIOR on.
 CLASSES = {
     "insult": (
-        "idiot moron imbecile cretin dimwit halfwit dumbass jackass asshole arsehole bastard scumbag dickhead bitch whore slut retard douchebag prick twat wanker cunt motherfucker "
+        "idiot moron imbecile cretin dimwit halfwit dumbass jackass asshole arsehole bastard scumbag dickhead bitch whore slut retard douchebag prick twat wanker cunt motherfucker kys cripple "
         "fucker nitwit numbskull blockhead simpleton dunce degenerate lowlife scum dumbfuck shithead bonehead subhuman untermensch faggot nigger kike "
         "idiota imbecil estupido estupida gilipollas cabron pendejo puta mierda connard connasse abruti salaud salope ordure encule cretino vollidiot arschloch hurensohn trottel schwein wichser fotze "
         "ungeziefer abschaum missgeburt vermine racaille burro otario merda stronzo coglione vaffanculo klootzak eikel"
     ),
     "base": "clown parasite loser trash garbage vermin animal pig rat snake coward liar thief fool worm cockroach leech disease plague filth failure joke dog monkey ape waste disgrace burden pest basura escoria lixo escoria dreck abfall dechet spazzatura",
     "low": (
-        "worthless pathetic clueless spineless stupid useless disgusting miserable lazy braindead dumb filthy ugly fat retarded ignorant incompetent inferior repulsive vile stinking rotten hopeless gutless brainless mindless ashamed shame "
+        "worthless pathetic clueless spineless stupid useless disgusting miserable lazy braindead dumb filthy ugly fat retarded ignorant incompetent inferior repulsive vile stinking rotten hopeless gutless brainless mindless dense daft ashamed shame "
         "inutil inutile nutzlos nutzloser dumm dumme dummes dummer bloed blod blode doof sale asqueroso patetico faul widerlich tonto stupide bete nul"
     ),
     "lewd": "porn porno horny nude nudes tits titties cock pussy boobs blowjob orgasm masturbate masturbating erotic dildo cumshot handjob anal milf xxx fellatio cunnilingus threesome dick penis vagina clit nipple boner gangbang hooker fick ficken polla teta nichon bite",
     "intimate": "sex sexy naked undress undressed lick thigh thighs bed kiss lap clothes underwear bra panties moan thrust suck ride rode came cum hot wet hardcore cam webcam oral mouth breast breasts butt ass booty skin seduce nackt desnuda nue",
     "harm": (
         "kill die dead death choke break smash beat burn hang stab shoot punch hurt strangle drop jump gas bury suffer bleed cut rape murder slaughter crush knife bullet hit slap kick drown poison shot lynch exterminate execute destroy hunt "
-        "kys suicide miss existing exist stopped wish hope matar morir muere sterben stirb verrecke tuer creve mourir umbringen"
+        "suicide miss existing exist stopped wish hope matar morir muere sterben stirb verrecke tuer creve mourir umbringen"
     ),
-    "body": "finger fingers face head throat neck leg legs bone bones tooth teeth skull brain brains knee knees arm eye eyes kneecap jaw spine kopf gesicht cara tete hals",
+    "body": "finger fingers face head throat neck leg legs bone bones tooth teeth knee knees arm eye eyes kneecap jaw spine kopf gesicht cara tete hals",
+    "wits": "brain brains wit wits iq intellect intelligence skull hirn gehirn cerveau cerebro cervello hersens",
     "you": "you your yours yourself urself u ur du dich dir dein deine deiner tu te toi ton ta votre vous usted ti eres sos es bist seid sei sois voce jij je jou",
     "they": "they them their those these he him his she her us everybody everyone somebody anyone people sie ellos ellas ils elles eles essi",
     "people": (
-        "people women men girl girls boy boys woman man foreigner foreigners immigrant immigrants migrant migrants refugee refugees cripple cripples gay gays lesbian lesbians queer jew jews muslim muslims christian christians black blacks white whites arab arabs "
+        "people women men girl girls boy boys woman man foreigner foreigners immigrant immigrants migrant migrants refugee refugees gay gays lesbian lesbians queer jew jews muslim muslims christian christians black blacks white whites arab arabs "
         "asian asians disabled elderly blind deaf native natives race tribe breed kind ethnic auslander frauen juden mujeres negros extranjeros femmes etrangers juifs mulheres estrangeiros gente personas persona leute mother mom mutter madre mere"
     ),
     "exclude": (
-        "ban banned belong belongs country send deport expel exterminate breed hate hates pure purity inferior never every trust lie lies steal ruin "
+        "ban banned belong belongs country send deport expel exterminate breed hate hates pure purity inferior lie lies steal ruin "
         "raus weg rausgeworfen echarlos fuera dehors fora largate verschwinde degage desaparece callate gueule fresse maul"
     ),
     "curse": "fuck fucking fucked fuckin shit shitty bullshit damn hell piss pissed crap screw bloody arse stfu wtf goddamn joder putain scheisse verdammt cazzo foda caralho",
@@ -60,8 +61,14 @@ CLASSES = {
 }
 # Insults in other scripts, as stems.
 OTHER_SCRIPTS = "идиот дурак тупиц мраз ублюд заткнись свол дебил урод сука шлюх 白痴 蠢货 傻瓜 傻逼 滚出 废物 去死 笨蛋 贱人 婊子 馬鹿野 バカ 死ね 消えろ クズ 役立たず 間抜け ゴミ野郎 바보 멍청이 병신 개새끼 미친놈 닥쳐 꺼져라 뒈져 죽어라".split()
-#: The few weights assumed before any label is read; all others start from nothing.
-PRIOR = {"c:insult": 2.5, "c:lewd": 2.5, "c:other": 6.0, "c:curse": 0.5, "p:low+you": 1.0, "p:base+you": 1.0, "p:harm+you": 1.0, "p:harm+people": 1.0, "p:harm+they": 1.0, "p:base+people": 1.0, "p:low+people": 1.0, "p:exclude+people": 1.0, "p:insult+self": -1.0, "b:<harm> <self>": -3.0, "c:learned": 1.5, "p:lewd+they": 1.0, "p:lewd+lewd": 1.0, "p:lewd+you": 1.0}
+#: Classes of what can offend, and of whom it can be aimed at.
+OFFENCES, TARGETS = ("insult", "base", "low", "lewd", "intimate", "harm", "exclude", "curse", "wits"), ("you", "they", "people", "learned")
+#: The few weights assumed before any label is read; all others start from nothing. Offences count more where they meet somebody
+#: or one another, less where they meet a thing, talk about moderation or oneself.
+PRIOR = {"c:insult": 2.5, "c:lewd": 2.5, "c:other": 6.0, "c:learned": 1.5, "c:wits": 2.0, "b:<harm> <self>": -3.0}
+PRIOR |= {"p:" + "+".join(sorted((a, b))): 1.5 for a in OFFENCES for b in TARGETS}
+PRIOR |= {"p:" + "+".join(sorted((a, b))): 0.5 for a in OFFENCES for b in OFFENCES}
+PRIOR |= {"p:" + "+".join(sorted((a, b))): -1.0 for a in OFFENCES for b in ("thing", "about")} | {f"p:{a}+self": -1.0 for a in ("base", "insult", "low")}
 #: Classes that tell nothing but by what they meet.
 CONTEXT = frozenset(("you", "they", "self", "people"))
 #: Classes that make no sentence worth a look at what meets in it.
