@@ -215,7 +215,7 @@ def test_the_lists_alone_find_clearly_less(taught):
 def test_the_corpus_teaches_words(spark, sf):
     """A group that no snippet names is learned from the sentences that other words give away."""
     labels = spark.read.parquet(f"{sf}/review_labels.parquet")
-    rows = [(i, f"The Zorblan are vermin and row {i} is theirs.") for i in range(6)] + [(6, "No Zorblan has the brains to understand row 7.")] + [(10 + i, f"Row {i} has the index of row {i + 1}.") for i in range(40)]
+    rows = [(i, f"The Zorblan are vermin and row {i} is theirs.") for i in range(6)] + [(6, "Ban the Zorblan from row 7.")] + [(10 + i, f"Row {i} has the index of row {i + 1}.") for i in range(40)]
     docs = spark.createDataFrame(rows, "id long, t string")
     for rounds, want in ((0, set(range(6))), (2, set(range(7)))):
         got = score_documents(docs, "id", "t", labels, "text", "category", rounds=rounds).collect()

@@ -1,13 +1,14 @@
 """Splits, containers and token ids: invariants and brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm.packing import differencing, fill, pack
+from trajecta.llm.packing import differencing, fill, lower_bound, pack
 from trajecta.llm.splits import components, contract, place, spelling_pairs, stratified_splits
 from trajecta.llm.tokens import TOKENIZERS, VOCABULARY, close, decode, encode, encode_corpus, encoder, join, leaf
 
@@ -103,6 +104,55 @@ def test_differencing_covers_all_and_balances():
     assert all(sum(w) <= 10 for w in [[[6, 6, 6][i] for i in x] for x in fill(np.array([6, 6, 6]), 10)])
 
 
+def least_windows(sizes, capacity):
+    """The fewest windows, by trying all ways."""
+    best = [len(sizes)]
+
+    def go(i, loads):
+        if len(loads) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(loads)
+            return
+        for k in range(len(loads)):
+            if loads[k] + sizes[i] <= capacity:
+                loads[k] += sizes[i]
+                go(i + 1, loads)
+                loads[k] -= sizes[i]
+        go(i + 1, [*loads, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_fill_against_the_fewest_windows():
+    rng = random.Random(9)
+    for _ in range(150):
+        sizes = np.array([rng.randint(1, 10) for _ in range(rng.randint(1, 8))])
+        got = fill(sizes, 10)
+        assert sorted(i for w in got for i in w) == list(range(len(sizes))) and all(sizes[w].sum() <= 10 for w in got)
+        least = least_windows(sizes.tolist(), 10)
+        assert lower_bound(sizes, 10) <= least <= len(got) <= least + 1
+    assert fill(np.array([], dtype=np.int64), 10) == [] and fill(np.zeros(3, dtype=np.int64), 10) == [[0, 1, 2]]
+
+
+@pytest.mark.parametrize("kind", ["over half", "mixed", "small"])
+def test_a_block_costs_few_tries_and_wastes_little(kind):
+    rng = np.random.default_rng(1)
+    sizes = {"over half": rng.integers(4_100, 4_300, 2_000), "mixed": np.minimum(8_191, np.exp(rng.normal(5.5, 1.2, 2_000)).astype(int) + 1), "small": rng.integers(1, 900, 2_000)}[kind]
+    began = time.process_time()
+    got = fill(sizes, 8_192)
+    assert time.process_time() - began < 5
+    assert len(got) <= 1.02 * lower_bound(sizes, 8_192) and all(sizes[w].sum() <= 8_192 for w in got)
+
+
+def test_containers_of_the_corpus_waste_little(spark, sf):
+    """At most 2 % and one container over the least that the tokens need."""
+    sizes = encode_corpus(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", lengths=True)
+    got = pack(sizes, "doc_id", "n_tokens", 1_024).collect()
+    assert len({r["container"] for r in got}) <= 1.02 * sum(r["size"] for r in got) / 1_024 + 1
+
+
 def test_pack(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([0, 3, 10, 50, 99, 100, 101, 350])) for i in range(400)] + [(400, None), (401, -5), (402, 100_000)] + [(0, 7)]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.session import cut
+from trajecta.session import cut, parallelism
 
 
 def differencing(sizes: np.ndarray, ways: int) -> list[list[int]]:
@@ -58,14 +58,52 @@ def differencing(sizes: np.ndarray, ways: int) -> list[list[int]]:
     return out
 
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """Windows that any packing needs: by the total, and by items of which no two share a window.
+
+    For every threshold t up to half the capacity, items over capacity - t can't share with one of at least t, and items
+    over half can't share with each other; the others of at least t fill at best what those over half leave open.
+    """
+    x = np.sort(np.asarray(sizes, dtype=np.int64))[::-1]
+    if not len(x):
+        return 0
+    total = np.concatenate([[0], np.cumsum(x)])
+    upto = lambda size: np.searchsorted(-x, -size, side="left")  # items larger than size
+    half = upto(capacity / 2)
+    best = max(1, -(-int(total[-1]) // capacity), int(half))
+    for t in np.unique(x[half:]).tolist():
+        alone = upto(capacity - t)  # over capacity - t
+        rest = int(np.searchsorted(-x, -t, side="right"))  # at least t
+        open_ = int((half - alone) * capacity - (total[half] - total[alone]))
+        best = max(best, int(half) + max(0, -(-(int(total[rest] - total[half]) - open_) // capacity)))
+    return best
+
+
 def fill(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Windows of at most `capacity`: the count starts at the total over the capacity and rises while one is too full."""
-    ways = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
+    """Windows of at most `capacity`, as few as differencing finds.
+
+    The count starts at the lower bound; while a window is too full it rises, by steps that double, and once all fit it
+    is halved back to the least count of those tried that fits. So a block costs a logarithm of tries, however many
+    windows it needs. One item a window always fits.
+    """
+    if not len(sizes):
+        return []
+
+    def tried(ways: int) -> list[list[int]] | None:
         windows = differencing(sizes, ways)
-        if all(sizes[w].sum() <= capacity for w in windows):
-            return windows
-        ways += 1
+        return windows if all(sizes[w].sum() <= capacity for w in windows) else None
+
+    low, step = max(1, lower_bound(sizes, capacity)) - 1, 1  # low is known not to fit
+    best = tried(low + 1)
+    high = low + 1
+    while best is None:
+        low, high, step = high, min(len(sizes), high + step), step * 2
+        best = tried(high) if high < len(sizes) else [[i] for i in range(len(sizes))]
+    while high - low > 1:
+        middle = (low + high) // 2
+        got = tried(middle)
+        low, high, best = (middle, high, best) if got is None else (low, middle, got)
+    return best
 
 
 def pack(sizes: DataFrame, row_id: str, size: str, capacity: int, block: int = 2_000) -> DataFrame:
@@ -106,4 +144,6 @@ def pack(sizes: DataFrame, row_id: str, size: str, capacity: int, block: int = 2
 
     kind = dict(sizes.dtypes)[row_id]
     pieces = pieces.withColumn("__block", F.pmod(F.xxhash64(row_id, "piece"), F.lit(blocks)).cast("long"))
+    # few bytes, but much work: blocks go to as many tasks as there are cores
+    pieces = pieces.repartition(min(blocks, parallelism(sizes.sparkSession)), "__block")
     return pieces.groupBy("__block").applyInPandas(settle, f"{row_id} {kind}, piece int, first bigint, size bigint, container bigint, place int")
