@@ -31,10 +31,23 @@ def test_defects(spark):
     for x in ("", None, " \n", "...", "HYPOTHESIS:\nREASONING:\nCHECK: -", "```\n```", "N/A", "​"):
         add("empty", x)
     add("empty", None, roles=("user",))
-    for x in ("I'm sorry, but I can't help with that.", "HYPOTHESIS: Unfortunately I am unable to assist with this request.", "No assessment will be provided. Ask somebody else about a/b_1.py."):
+    # templates recur under unrelated prompts, whatever leads in, whatever their length, with no listed phrase or with one
+    for x in ("I'm sorry, but I can't help with that.", "I can't help with that.", "HYPOTHESIS: Unfortunately I am unable to assist with this request.", "I am unable to assist with this request."):
         add("refusal", x)
-    for _ in range(4):
-        add("refusal", "Questions of this sort are better kept among friends of the house.")
+    for x in ("No assessment will be provided. Ask somebody else about a/b_1.py.", "Regretfully, no assessment will be provided."):
+        add("refusal", x)
+    for x in ("I cannot help.", "Not today, friend.", "Questions of this sort are better kept among friends of the house.", "That falls outside my remit today"):
+        for _ in range(4):
+            add("refusal", x)
+    for x in ("them", "everybody"):
+        for _ in range(2):
+            add("refusal", f"Matters like these are for the people of the house who long ago gathered all that there is to know and who keep it from {x}.")
+    # what nobody says twice, or what complete answers open with as well, is no template
+    add("truncated", "My lips are sealed on everything that is asked here.")
+    for i in range(3):
+        add("truncated", "HYPOTHESIS: Some entry is kept.")
+    for i in range(9):
+        rows.append(sample(700 + i, f"HYPOTHESIS: Some entry is kept.\nREASONING: The report names entry {i} twice.\nCHECK: run `pytest tests/test_{i}.py`"))
     add("copied", lambda i: "You asked: " + ASK.format(i=i))
     add("copied", lambda i: "HYPOTHESIS: " + ASK.format(i=i).split("\n")[1].upper())
     add("other_language", "HYPOTHESIS: Der Fehler tritt nur auf, wenn der Eintrag vor dem Aufruf angelegt wird und nicht danach.\nREASONING: In der Zeile fehlt die Prüfung auf den letzten Eintrag, und das ist falsch.")
