@@ -19,7 +19,7 @@ def sample(i, answer, kind="propose", ask=None, roles=("user", "assistant")):
 
 
 def test_defects(spark):
-    rows = [sample(i, GOOD.format(i=i)) for i in range(40)]
+    rows = [sample(i, GOOD.format(i=i)) for i in range(90)]
     want = {}
 
     def add(defect, answer, **kw):
