@@ -53,7 +53,7 @@ def test_defects(spark):
     add("other_language", "HYPOTHESIS: Der Fehler tritt nur auf, wenn der Eintrag vor dem Aufruf angelegt wird und nicht danach.\nREASONING: In der Zeile fehlt die Prüfung auf den letzten Eintrag, und das ist falsch.")
     add("other_language", "HYPOTHESIS: Похоже, что последний элемент никогда не сбрасывается.\nREASONING: Ошибка возникает, только если элемент создаётся раньше.")
     german = "Der Fehler tritt nur auf, wenn der Eintrag vor dem Aufruf angelegt wird. Bitte die Ursache nennen, die am ehesten dafür in Frage kommt und nicht nur eine."
-    add(None, "HYPOTHESIS: Vermutlich wird die Prüfung nicht vor dem Aufruf gemacht und das ist der Grund.\nREASONING: In der Zeile fehlt sie, und nur dann tritt es auf.", ask=german)
+    add(None, "HYPOTHESIS: Vermutlich wird die Prüfung nicht vor dem Aufruf gemacht und das ist der Grund.\nREASONING: In der Zeile fehlt sie, und nur dann tritt es auf.\nCHECK: run `pytest tests/test_1.py`", ask=german)
     add("truncated", lambda i: GOOD.format(i=i)[:90])
     add("truncated", lambda i: GOOD.format(i=i).split("\nREASONING")[0])
     add("truncated", lambda i: GOOD.format(i=i).rsplit(" run", 1)[0])
