@@ -111,7 +111,7 @@ def longest_run(a, b):
     return best
 
 
-@pytest.mark.parametrize("block", [60, 2_000_000])
+@pytest.mark.parametrize("block", [300, 2_000_000])
 def test_leaks_equal_brute_force(spark, block):
     rng = random.Random(4)
     word = lambda: f"w{rng.randint(0, 40)}"
@@ -128,7 +128,7 @@ def test_leaks_equal_brute_force(spark, block):
     records += [("k", 900, None), ("k", 901, []), ("k", 0, records[0][2])]
     r = spark.createDataFrame(records, "kind string, rid long, texts array<string>").withColumn("__texts", F.lit(1)).withColumn("words", F.lit("clash"))
     p = spark.createDataFrame(passages, "pid long, said string")
-    got = leaked(r, ["kind", "rid"], F.col("texts"), p, "pid", "said", block_words=block).collect()
+    got = leaked(r, ["kind", "rid"], F.col("texts"), p, "pid", "said", coverage=2.0, block_bytes=block).collect()
     words = lambda x: "".join(c if c.isalnum() else " " for c in x.lower()).split()
     want = []
     for _, i, fields in records:
@@ -140,3 +140,47 @@ def test_leaks_equal_brute_force(spark, block):
     assert all(x["longest"] <= x["covered"] <= x["words"] for x in got)
     assert leaked(r.limit(0), ["rid"], F.col("texts"), p, "pid", "said").count() == 0
     assert leaked(r, ["rid"], F.col("texts"), p.limit(0), "pid", "said").count() == 0
+
+
+def test_reordered_parts_count_by_coverage(spark):
+    """Parts under twelve words in another order leak a passage if they cover enough of it; a stock phrase doesn't."""
+    rng = random.Random(5)
+    passage = [f"w{i}" for i in range(40)]
+    parts = [passage[i : i + 8] for i in range(0, 40, 8)]
+    texts = {}
+    for i in range(30):
+        picked = rng.sample(parts, rng.randint(0, 5))
+        texts[i] = (picked, " ".join(" ".join(p) + f" x{rng.randint(0, 9)}" for p in picked))
+    r = spark.createDataFrame([(i, [t, None]) for i, (_, t) in texts.items()], "rid long, texts array<string>")
+    p = spark.createDataFrame([(1, " ".join(passage).replace("w3", "W3")), (2, "other words than those above, all of them, and quite a few of them too")], "pid long, said string")
+    got = {(x["pid"], x["rid"]): (x["longest"], x["covered"]) for x in leaked(r, ["rid"], F.col("texts"), p, "pid", "said").collect()}
+    assert got == {(1, i): (8, 8 * len(k)) for i, (k, _) in texts.items() if 8 * len(k) >= 20} and got
+    with pytest.raises(ValueError, match="seed"):
+        leaked(r, ["rid"], F.col("texts"), p, "pid", "said", least=4)
+    # a script without blanks counts by characters, a passage of other white space by words
+    chinese = "只有在重启之后才会出错尽管已被删除的最后一项又出现了"
+    p = spark.createDataFrame([(1, chinese), (2, "\t".join(f"v{i}" for i in range(20)))], "pid long, said string")
+    r = spark.createDataFrame([(1, [f"abc {chinese[5:18]} def"]), (2, ["\n".join(f"V{i}" for i in range(4, 17))]), (3, [chinese[:9]])], "rid long, texts array<string>")
+    assert {(x["pid"], x["rid"], x["longest"]) for x in leaked(r, ["rid"], F.col("texts"), p, "pid", "said").collect()} == {(1, 1, 13), (2, 2, 13)}
+
+
+def test_items_leaked_against_plain_counting(spark, sf):
+    from trajecta.llm.queries import REG
+
+    words = lambda x: "".join(c if c.isalnum() else " " for c in (x or "").lower()).split()
+    passages = [(r["heldout_id"], words(r["passage"])) for r in spark.read.parquet(f"{sf}/heldout_items.parquet").collect()]
+    records = [("pair", r["pair_id"], [r["prompt"], r["chosen"], r["rejected"]]) for r in spark.read.parquet(f"{sf}/preference_pairs.parquet").collect()]
+    records += [("sample", r["sample_id"], [m["content"] for m in r["messages"] or []]) for r in spark.read.parquet(f"{sf}/sft_samples.parquet").collect()]
+    runs = {}
+    for i, w in passages:
+        for k in range(len(w) - 11):
+            runs.setdefault(tuple(w[k : k + 12]), set()).add(i)
+    want = set()
+    for kind, i, fields in records:
+        for f in fields:
+            w = words(f)
+            for k in range(len(w) - 11):
+                want |= {(h, kind, i) for h in runs.get(tuple(w[k : k + 12]), ())}
+    assert {tuple(r) for r in REG.queries["p4_found"](spark, sf).collect()} == want and want
+    got = {(r["heldout_id"], r["record_kind"]): (r["records"] - r["in_parts"]) for r in REG.queries["p4_items"](spark, sf).collect()}
+    assert {k: n for k, n in got.items() if n} == {(h, kind): sum((a, b) == (h, kind) for a, b, _ in want) for h, kind, _ in want}

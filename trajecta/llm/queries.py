@@ -152,15 +152,15 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.add("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that hold a passage or a part of it, with the item that leaks."""
-    return _leaks(spark, sf_dir).select("heldout_id", "record_kind", "record_id")
+    """Records that hold twelve words in a row of a passage, with the item that leaks."""
+    return _leaks(spark, sf_dir).filter("longest >= 12").select("heldout_id", "record_kind", "record_id")
 
 
 @REG.add("p4_items")
 def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each leaked item: in how many records, and how much of it at most."""
+    """Each leaked item: in how many records, in how many of them only by parts that together cover half of it, and how much of it at most."""
     return _leaks(spark, sf_dir).groupBy("heldout_id", "record_kind").agg(
-        F.count("*").alias("records"), F.max("longest").alias("longest"), F.max(F.round(F.col("covered") / F.col("words"), 6)).alias("coverage")
+        F.count("*").alias("records"), F.count_if(F.col("longest") < 12).alias("in_parts"), F.max("longest").alias("longest"), F.max(F.round(F.col("covered") / F.col("words"), 6)).alias("coverage")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from trajecta.session import spread
 
-WORD = re.compile(r"[^\W_]+")
+#: A word; a character of a script without blanks is one by itself.
+WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,22 +66,22 @@ def tiles(text: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int,
 
 
 class Index:
-    """A block of passages: word numbers, and where each window of `least` words occurs."""
+    """A block of passages: word numbers, and where each window of `seed` words occurs."""
 
-    def __init__(self, passages: Sequence[tuple[int, str]], least: int) -> None:
-        self.least, self.numbers = least, {}
+    def __init__(self, passages: Sequence[tuple[int, str]], least: int, seed: int, coverage: float) -> None:
+        self.least, self.seed, self.coverage, self.numbers = least, seed, coverage, {}
         self.ids, self.words = [], []
         for key, text in passages:
             self.ids.append(key)
             self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in WORD.findall(text.lower())], dtype=np.int64))
-        hashes = [rolling(w, least) for w in self.words]
+        hashes = [rolling(w, seed) for w in self.words]
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         both = np.concatenate([*hashes, np.empty(0, dtype=np.uint64)])
         order = np.argsort(both, kind="stable")
         self.hashes, self.owner = both[order], owner[order]
 
     def find(self, texts: Sequence[Sequence[str | None]]) -> list[tuple[int, int, int, int]]:
-        """(record, passage, longest tile, words of the passage covered by one text at best) of a batch of records."""
+        """(record, passage, longest tile, words of the passage covered by one text at best) of a batch of records, where either is enough."""
         get, flat, row, start = self.numbers.get, [], [], [0]
         for r, fields in enumerate(texts):
             for t in fields if fields is not None else ():
@@ -88,45 +90,68 @@ class Index:
                     row.append(r)
                     start.append(len(flat))
         ids, ends = np.array(flat, dtype=np.int64), np.array(start)
-        hashes = rolling(ids, self.least)
+        hashes = rolling(ids, self.seed)
         at = np.searchsorted(self.hashes, hashes)
         hit = np.nonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes)[0] if len(self.hashes) else np.empty(0, dtype=int)
         field = np.searchsorted(ends, hit, side="right") - 1
-        inside = hit + self.least <= ends[np.minimum(field + 1, len(ends) - 1)]
-        seeds = set()
+        inside = hit + self.seed <= ends[np.minimum(field + 1, len(ends) - 1)]
+        seeds: dict[tuple[int, int], int] = {}
         for h, f in zip(hit[inside].tolist(), field[inside].tolist()):
             k = int(at[h])
             while k < len(self.hashes) and self.hashes[k] == hashes[h]:
-                seeds.add((f, int(self.owner[k])))
+                seeds[f, int(self.owner[k])] = seeds.get((f, int(self.owner[k])), 0) + 1
                 k += 1
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for f, p in seeds:
-            got = tiles(ids[ends[f] : ends[f + 1]], self.words[p], self.least)
+        for (f, p), n in seeds.items():
+            # a tile of `least` words has so many seeds, and n seeds cover at most n times their words
+            if n <= self.least - self.seed and n * self.seed < self.coverage * len(self.words[p]):
+                continue
+            got = tiles(ids[ends[f] : ends[f + 1]], self.words[p], self.seed)
             if got:
                 old = best.get((row[f], p), (0, 0))
                 best[row[f], p] = max(old[0], got[0][2]), max(old[1], sum(x[2] for x in got))
-        return [(r, p, *best[r, p]) for r, p in sorted(best)]
+        return [(r, p, *best[r, p]) for r, p in sorted(best) if best[r, p][0] >= self.least or best[r, p][1] >= self.coverage * len(self.words[p])]
 
 
-def leaked(
-    records: DataFrame, keys: Sequence[str], texts: Column, passages: DataFrame, passage_id: str, passage: str, least: int = 12, block_words: int = 2_000_000
-) -> DataFrame:
-    """(passage_id, *keys, `longest`, `covered`, `words`): records one of whose texts has a tile of a passage.
+_INDEX: dict[str, Index] = {}
+
+
+def _index(shared) -> Index:
+    """The index of a broadcast block, built once in a worker."""
+    name, passages, *rest = shared.value
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Index(passages, *rest)
+    return _INDEX[name]
 
-    texts is an array of strings of a record; words are runs of letters and digits, letter case aside, and a tile has
-    at least `least` of them. `longest` is the longest tile, `covered` the most words of the passage that tiles of one
-    text cover (reordered parts count), `words` the passage's length.
 
-    The passages are the stated query set: they travel with the tasks in blocks of at most block_words words (a proven
-    bound, some 20 MB), each block one scan of the records. No record is shuffled. Null texts and passages, and
-    passages under `least` words, match nothing; repeated records and passages each count; empty tables give no rows.
+def leaked(
+    records: DataFrame, keys: Sequence[str], texts: Column, passages: DataFrame, passage_id: str, passage: str, least: int = 12, seed: int = 6, coverage: float = 0.5, block_bytes: int = 1 << 25
+) -> DataFrame:
+    """(passage_id, *keys, `longest`, `covered`, `words`): records one of whose texts holds a passage or a good part of it.
+
+    texts is an array of strings of a record; words are runs of letters and digits, letter case aside (characters, in a
+    script without blanks), and tiles have at least `seed` of them. A record leaks a passage if its longest tile has
+    `least` words, or if the tiles of one text cover the share `coverage` of the passage, in whatever order its parts
+    stand there. `longest` is the longest tile, `covered` the most words that tiles of one text cover, `words` the
+    passage's length.
+
+    The passages are the stated query set: they travel with the tasks in blocks of at most block_bytes of text (a
+    single longer passage is a block), counted as they stream through the driver, which keeps none of them; workers
+    index a block once. Each block is one scan of the records, and no record is shuffled. Null texts and passages, and
+    passages under `seed` words, match nothing; repeated records and passages each count; empty tables give no rows.
     """
+    if not 1 <= seed <= least:
+        raise ValueError("seed must be from 1 to least")
     kinds, schema = dict(records.dtypes), f"{passage_id} {dict(passages.dtypes)[passage_id]}, "
     schema += ", ".join(f"{k} {kinds[k]}" for k in keys) + ", longest int, covered int, words int"
     slim = spread(records.select(*keys, texts.alias("__texts")))
 
-    def scan(index: Index):
+    def scan(block: list[tuple]) -> DataFrame:
+        shared = records.sparkSession.sparkContext.broadcast((uuid4().hex, block, least, seed, coverage))
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = _index(shared)
             for b in batches:
                 got = index.find(b["__texts"].tolist())
                 rows = [x[0] for x in got]
@@ -136,13 +161,13 @@ def leaked(
         return slim.mapInPandas(run, schema)
 
     found, block, size = None, [], 0
-    wanted = passages.select(passage_id, passage).filter(F.col(passage).isNotNull()).orderBy(passage_id)
+    wanted = passages.select(passage_id, passage).filter(F.col(passage).isNotNull()).orderBy(passage_id, passage)
     for row in wanted.toLocalIterator():
-        n = row[1].count(" ") + 1
-        if block and size + n > block_words:
-            part = scan(Index(block, least))
+        n = len(row[1].encode("utf-8", "surrogatepass"))
+        if block and size + n > block_bytes:
+            part = scan(block)
             found, block, size = (part if found is None else found.union(part)), [], 0
         block.append((row[0], row[1]))
         size += n
-    part = scan(Index(block, least))
+    part = scan(block)
     return part if found is None else found.union(part)
