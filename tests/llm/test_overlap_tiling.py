@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from trajecta.llm.overlap import FullTextIndex, distance, overlaps
+from trajecta.llm.overlap import FullTextIndex, distance, matches, overlap_counts, overlaps, spans
 from trajecta.llm.tiling import leaked, rolling, tiles
 
 
@@ -40,14 +40,42 @@ def test_full_text_index_counts_like_a_scan():
     for width in (1, 2, 4):
         patterns = np.array([[rng.choice([-5, -1, 2, 3, 9, 7, 100]) for _ in range(width)] for _ in range(60)])
         lo, hi = index.search(index.symbols(patterns.ravel()).reshape(patterns.shape))
-        which, owner = index.owners(lo, hi)
+        which, owner, place = index.places(lo, hi)
         for i, p in enumerate(patterns.tolist()):
             holds = lambda t: [k for k in range(len(t) - width + 1) if t[k : k + width].tolist() == p]
             assert hi[i] - lo[i] == sum(len(holds(t)) for t in texts) or (hi[i] <= lo[i] and not any(holds(t) for t in texts))
-            assert sorted(owner[which == i].tolist()) == [k for k, t in enumerate(texts) if holds(t)]
+            own = which == i
+            assert sorted(zip(owner[own].tolist(), place[own].tolist())) == [(k, x) for k, t in enumerate(texts) for x in holds(t)]
     assert FullTextIndex([]).n == 0
 
 
+def gone(a, b):
+    """Differing words of near texts."""
+    d = levenshtein(a, b) if a and b else None
+    return d if d is not None and d * 10 <= max(len(a), len(b)) else None
+
+
+def test_matches_are_maximal_and_merged():
+    rng = random.Random(6)
+    for _ in range(60):
+        base = [rng.randint(0, 60) for _ in range(rng.randint(20, 80))]
+        texts = []
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.randint(0, len(x) // 12)):
+                x[rng.randrange(len(x))] = rng.randint(100, 200)
+            texts.append(np.array(x))
+        train = np.array(base)
+        for t, d, words, n in matches(FullTextIndex(texts), texts, train):
+            assert d == levenshtein(base, texts[t].tolist())
+            # matched words at least those of all runs of seven and more equal words, which hold a slot wherever they lie
+            same, least, run = train == texts[t], 0, 0
+            for x in [*same.tolist(), False]:
+                least, run = (least, run + 1) if x else (least + run * (run >= 7), 0)
+            assert least <= words <= len(base) and 1 <= n <= d + 1
+    assert spans(np.arange(20), np.concatenate([np.arange(8), [99], np.arange(9, 20)]), np.array([0, 12]), np.array([0, 12])) == [(0, 8), (9, 20)]
+
+
 def varied(rng, words, n_edits):
     out = list(words)
     for _ in range(n_edits):
@@ -81,6 +109,13 @@ def test_overlaps_equal_brute_force(spark):
             if a and b and (d := levenshtein(a, b)) * 10 <= max(len(a), len(b)):
                 want.append((i, j, d))
     assert got == sorted(want) and len(want) > 100
+    # the same from classes, without pairs
+    t, e = t.withColumn("run", F.when(F.col("tid") % 3 > 0, F.col("tid") % 3)), e.withColumn("split", F.col("eid") % 2)
+    counts = {(r["split"], r["run"]): tuple(r)[2:6] for r in overlap_counts(t, e, "said", "run", "split").collect()}
+    rows = [((i % 2, j % 3 or None), i, k, d, j) for i, x in ev for k, (j, y) in enumerate(train) for d in [gone(words(x), words(y))] if d is not None]
+    both = {g for g, *_ in rows}
+    eval_rows = lambda g: len({(i, n) for n, (i, x) in enumerate(ev) for h, i2, *_ in rows if h == g and i2 == i})
+    assert counts == {g: (sum(h == g for h, *_ in rows), sum(h == g and d == 0 for h, _, _, d, _ in rows), eval_rows(g), len({k for h, _, k, _, _ in rows if h == g})) for g in both}
     assert overlaps(t.limit(0), e, "said", ["tid"], ["eid"]).count() == 0
     assert overlaps(t, e.limit(0), "said", ["tid"], ["eid"]).count() == 0
 

@@ -24,7 +24,8 @@ class FullTextIndex:
 
     def __init__(self, texts: list[np.ndarray]) -> None:
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), lengths)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        self.begin = np.cumsum(lengths) - lengths
         ends, n = np.cumsum(lengths) - 1, int(lengths.sum())
         self.alphabet, symbols = np.unique(np.concatenate([*texts, np.zeros(0, dtype=np.int64)]), return_inverse=True)
         coded = np.zeros(n, dtype=np.int64)  # symbol 0 is the separator
@@ -43,7 +44,7 @@ class FullTextIndex:
             rank, step = fresh, step * 2
             if n == 0 or rank.max() == n - 1:
                 break
-        self.sa = order
+        self.sa = order.astype(np.int32)  # a shard is small, so that four bytes do
         bwt = coded[self.sa - 1]  # of the first suffix it is the last separator
         self.first = np.searchsorted(np.sort(coded), np.arange(len(self.alphabet) + 2))
         rows = np.argsort(bwt, kind="stable")
@@ -71,13 +72,14 @@ class FullTextIndex:
             live = live[lo[live] < hi[live]]
         return lo, hi
 
-    def owners(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pattern, text) of all occurrences, each text once for a pattern."""
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, text, place in text) of all occurrences."""
         n = np.maximum(hi - lo, 0)
         pattern = np.repeat(np.arange(len(lo)), n)
         row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        both = np.unique(pattern * (len(self.owner) + 1) + self.owner[self.sa[row]])
-        return both // (len(self.owner) + 1), both % (len(self.owner) + 1)
+        at = self.sa[row]
+        text = self.owner[at]
+        return pattern, text, at - self.begin[text]
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -109,32 +111,51 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def matches(index: FullTextIndex, texts: list[np.ndarray], train: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, words in matched spans, differing words) for the texts of the shard that are near train.
+def spans(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal matches of a and b around places that match (at_a in a, at_b in b), merged to spans [from, to) of a."""
+    found = []
+    for d in np.unique(at_b - at_a).tolist():
+        lo, hi = max(0, -d), min(len(a), len(b) - d)
+        bad = lo + np.nonzero(a[lo:hi] != b[lo + d : hi + d])[0]
+        k = np.searchsorted(bad, np.unique(at_a[at_b - at_a == d]))
+        found += zip(np.concatenate([[lo], bad + 1])[k].tolist(), np.concatenate([bad, [hi]])[k].tolist())
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(found)):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def matches(index: FullTextIndex, texts: list[np.ndarray], train: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, differing words, words in matched spans, spans) for the texts of the shard that are near train.
 
     Disjoint slots of train go through backward search together. d differing words spoil at most d slots, so a near text
-    holds all other slots exactly; its matched slots are counted and merged to spans, and only texts with enough of
-    them are compared word by word. Nothing near is lost.
+    holds all other slots exactly. Where a text has enough of them, each is extended to the maximal match that it lies
+    in, the matches are merged to spans of train and counted, and the words between decide. Nothing near is lost.
     """
     n = len(train)
     s = n // SLOT
     if not s:
         return []
-    coded = index.symbols(train[: s * SLOT]).reshape(s, SLOT)
-    lo, hi = index.search(coded)
-    _, text = index.owners(lo, hi)
-    which, count = np.unique(text, return_counts=True)
+    lo, hi = index.search(index.symbols(train[: s * SLOT]).reshape(s, SLOT))
+    pattern, text, place = index.places(lo, hi)
+    slots = np.unique(text * np.int64(s) + pattern) // s
+    which, count = np.unique(slots, return_counts=True)
     out = []
     for t, c in zip(which.tolist(), count.tolist()):
         other = texts[t]
         most = max(n, len(other)) // TEN
         if c >= s - most and (d := distance(train, other, most)) is not None:
-            out.append((t, c * SLOT, d))
+            own = text == t
+            merged = spans(train, other, pattern[own] * SLOT, place[own])
+            out.append((t, d, sum(y - x for x, y in merged), len(merged)))
     return out
 
 
 def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: int = 256, block: int = 4_096) -> DataFrame:
-    """(`train_print`, `eval_print`, `edits`, `words`) of near texts.
+    """(`train_print`, `eval_print`, `edits`, `words`, `spans`) of near texts.
 
     train and evaluation hold distinct texts with key (the print) and text (words with single blanks).
 
@@ -182,11 +203,11 @@ def near(train: DataFrame, evaluation: DataFrame, key: str, text: str, shard: in
             names, index = texts["__key"].tolist(), FullTextIndex(held)
             for name, said in zip(visitors["__key"], visitors["__text"]):
                 words = np.array([number.get(w, -1) for w in said.split(" ")], dtype=np.int64)
-                rows += [(name, names[t], d, span) for t, span, d in matches(index, held, words) if names[t] != name]
-        return pd.DataFrame(rows, columns=["train_print", "eval_print", "edits", "words"])
+                rows += [(name, names[t], *found) for t, *found in matches(index, held, words) if names[t] != name]
+        return pd.DataFrame(rows, columns=["train_print", "eval_print", "edits", "words", "spans"])
 
     together = guests.groupBy("__shard", "__block").cogroup(hosts.groupBy("__shard", "__block"))
-    return together.applyInPandas(stream, f"train_print {kind}, eval_print {kind}, edits int, words int")
+    return together.applyInPandas(stream, f"train_print {kind}, eval_print {kind}, edits int, words int, spans int")
 
 
 def printed(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -195,18 +216,46 @@ def printed(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.unhex(F.md5(F.col("__text").cast("binary"))).alias("__print"), "__text")
 
 
+def linked(train: DataFrame, evaluation: DataFrame, text: str, train_keys: list[str], eval_keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal texts, and the links between them: (links, train members, evaluation members).
+
+    links: (`train_print`, `eval_print`, `edits`, `words`, `spans`): near texts, how many words differ, how many of the
+    train text lie in maximal matches, and in how many spans. Members: (`train_print`, *train_keys) and (`eval_print`,
+    *eval_keys), a row for each row with a word. Copies are never expanded into pairs here.
+    """
+    rows = [cut(printed(x, text, *keys)) for x, keys in ((train, train_keys), (evaluation, eval_keys))]
+    one = [cut(x.groupBy("__print").agg(F.first("__text").alias("__text"))) for x in rows]
+    close = near(one[0], one[1], "__print", "__text")
+    length = F.size(F.split("__text", " "))
+    same = one[0].select("__print", length.alias("words")).join(one[1].select("__print"), "__print")
+    same = same.select(F.col("__print").alias("train_print"), F.col("__print").alias("eval_print"), F.lit(0).alias("edits"), "words", F.lit(1).alias("spans"))
+    return cut(close.union(same)), rows[0].select(F.col("__print").alias("train_print"), *train_keys), rows[1].select(F.col("__print").alias("eval_print"), *eval_keys)
+
+
 def overlaps(train: DataFrame, evaluation: DataFrame, text: str, train_keys: list[str], eval_keys: list[str]) -> DataFrame:
     """(*eval_keys, *train_keys, `edits`): evaluation rows and the train rows that differ in at most one word in ten.
 
     Words are runs of letters and digits, letter case aside; added, removed and replaced words count against the longer
-    text. Each distinct text is compared once, however many rows share it; the rows come back by joins on the prints,
-    which AQE may split where a print is hot. Null texts and texts without a word overlap nothing. Repeated rows each
-    count. Empty tables give no rows. Key columns of the two sides must differ in name.
+    text. Each distinct text is compared once, however many rows share it (`linked`); the rows come back by joins on the
+    prints, which AQE may split where a print is hot. Null texts and texts without a word overlap nothing. Repeated rows
+    each count. Empty tables give no rows. Key columns of the two sides must differ in name.
+    """
+    links, t, e = linked(train, evaluation, text, train_keys, eval_keys)
+    return links.select("train_print", "eval_print", "edits").join(e, "eval_print").join(t, "train_print").select(*eval_keys, *train_keys, "edits")
+
+
+def overlap_counts(train: DataFrame, evaluation: DataFrame, text: str, source: str, split: str) -> DataFrame:
+    """(split, source, `links`, `exact_links`, `eval_rows`, `train_rows`, `matched_words`): overlaps of each split and source.
+
+    source is a column of train, split one of evaluation. Counted from the links of classes and the classes' sizes, so
+    that no pair of copies is ever built. matched_words counts words of train texts in maximal matches, a link at a time.
     """
-    one = [cut(printed(x, text).groupBy("__print").agg(F.first("__text").alias("__text"))) for x in (train, evaluation)]
-    close = near(one[0], one[1], "__print", "__text").select("train_print", "eval_print", "edits")
-    same = one[0].select("__print").join(one[1].select("__print"), "__print").select(F.col("__print").alias("train_print"), F.col("__print").alias("eval_print"), F.lit(0).alias("edits"))
-    links = cut(close.union(same))
-    t = printed(train, text, *train_keys).select(F.col("__print").alias("train_print"), *train_keys)
-    e = printed(evaluation, text, *eval_keys).select(F.col("__print").alias("eval_print"), *eval_keys)
-    return links.join(e, "eval_print").join(t, "train_print").select(*eval_keys, *train_keys, "edits")
+    links, t, e = linked(train, evaluation, text, [source], [split])
+    t, e = (x.groupBy(*x.columns).agg(F.count("*").alias(n)) for x, n in ((t, "__t"), (e, "__e")))
+    met = cut(links.join(e, "eval_print").join(t, "train_print"))
+    by, both = [split, source], F.col("__e") * F.col("__t")
+    total = met.groupBy(*by).agg(F.sum(both).alias("links"), F.sum(F.when(F.col("edits") == 0, both).otherwise(0)).alias("exact_links"), F.sum(both * F.col("words")).alias("matched_words"))
+    sides = [met.select(*by, p, n).distinct().groupBy(*by).agg(F.sum(n).alias(name)) for p, n, name in (("eval_print", "__e", "eval_rows"), ("train_print", "__t", "train_rows"))]
+    for side in sides:
+        total = total.alias("x").join(side.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]).select("x.*", F.col("y." + side.columns[-1]))
+    return total.select(*by, "links", "exact_links", "eval_rows", "train_rows", "matched_words")

@@ -10,7 +10,7 @@ from trajecta.llm.cap import stratified_cap
 from trajecta.llm.copies import bare, bare_lines, fold_copies
 from trajecta.llm.defects import broken_answers
 from trajecta.llm.identity import instance_key
-from trajecta.llm.overlap import overlaps
+from trajecta.llm.overlap import overlap_counts, overlaps
 from trajecta.llm.packing import pack
 from trajecta.llm.splits import spelling_pairs, stratified_splits
 from trajecta.llm.sql import P1_FOUND, P5_FOUND, P6_FOUND, P6_GROUPS
@@ -117,27 +117,25 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-def _overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train prompts; prompts of the other splits and inputs of items."""
     pairs, items = table(spark, sf_dir, "preference_pairs"), table(spark, sf_dir, "eval_items")
     train = pairs.filter("split_tag = 'train'").select("pair_id", "run_id", F.col("prompt").alias("said"))
     asked = pairs.filter("split_tag in ('dev', 'test')").select(F.lit("pair").alias("eval_kind"), F.col("pair_id").alias("eval_no"), F.col("split_tag").alias("eval_split"), F.col("prompt").alias("said"))
     built = items.select(F.lit("item").alias("eval_kind"), F.col("item_no").alias("eval_no"), F.lit("eval").alias("eval_split"), F.col("input").alias("said"))
-    return overlaps(train, asked.union(built), "said", ["pair_id", "run_id"], ["eval_kind", "eval_no", "eval_split"])
+    return train, asked.union(built)
 
 
 @REG.add("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation prompts and inputs, and the train pairs whose prompt is the same or nearly so."""
-    return _overlapping(spark, sf_dir).select("eval_kind", "eval_no", "pair_id")
+    return overlaps(*_compared(spark, sf_dir), "said", ["pair_id"], ["eval_kind", "eval_no"]).select("eval_kind", "eval_no", "pair_id")
 
 
 @REG.add("p3_counts")
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps counted for each evaluation split and train run."""
-    found = _overlapping(spark, sf_dir)
-    return found.groupBy("eval_split", "run_id").agg(
-        F.count("*").alias("links"), F.countDistinct("eval_kind", "eval_no").alias("eval_rows"), F.countDistinct("pair_id").alias("train_rows"), F.count_if(F.col("edits") == 0).alias("exact_links")
-    )
+    return overlap_counts(*_compared(spark, sf_dir), "said", "run_id", "eval_split")
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
