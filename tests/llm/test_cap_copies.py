@@ -121,3 +121,22 @@ def test_copies_of_a_hot_group_and_none(spark):
     assert {i: n for i, (_, n) in got.items()} == {i: sizes[x] for i, x in enumerate(said)}
     assert {i: f for i, (f, _) in got.items()} == {i: said.index(x) for i, x in enumerate(said)}
     assert folded(spark, rows[:0]) == {}
+
+
+def test_cap_by_type_against_plain_python(spark, sf):
+    """p1_kept_by_type on a table: every row once, quotas by largest remainder, the best of each type."""
+    from trajecta.llm.queries import REG, instance_key as key
+
+    pairs = spark.read.parquet(f"{sf}/preference_pairs.parquet")
+    rows = pairs.select("pair_id", key(F.col("instance_id")).alias("k"), F.coalesce("pair_type", F.lit("")).alias("s"), "strength", "rank_gap").collect()
+    got = {r["pair_id"]: r["kept"] for r in REG.queries["p1_kept_by_type"](spark, sf).collect()}
+    keep, by = {r["pair_id"] for r in rows if r["k"] is None}, defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        if r["k"] is not None:
+            by[r["k"]][r["s"]].append(r)
+    for strata in by.values():
+        sizes = {s: len(x) for s, x in strata.items()}
+        for s, n in expected_quotas(sizes, 8, sizes).items():
+            best = sorted(strata[s], key=lambda r: ((r["strength"] or "").strip().lower() != "verified", r["rank_gap"] is None, -(r["rank_gap"] or 0), r["pair_id"]))
+            keep |= {r["pair_id"] for r in best[:n]}
+    assert len(got) == len(rows) and {i for i, k in got.items() if k} == keep and len(keep) < len(rows)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.session import cut
+from trajecta.session import cut, parallelism
 
 
 def contract(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -164,6 +164,7 @@ def stratified_splits(
         return pd.DataFrame({"component": groups, "split": [names[s] for s in got]})
 
     rest = rest.withColumn("__block", F.pmod(F.xxhash64("component"), F.lit(blocks)))
+    rest = rest.repartition(min(blocks, parallelism(spark)), "__block")  # few bytes, but much work
     settled = rest.groupBy("__block").applyInPandas(settle, "component string, split string")
     out = rows.join(placed.union(settled), "component")
     return out.select(F.col("__id").alias(row_id), "component", "split")

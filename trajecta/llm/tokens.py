@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +20,19 @@ from trajecta.session import parallelism, spread
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k"
 #: Fixed value: how this vocabulary's public tokenizer splits text before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A place that no pre-token of PATTERN crosses: common white space behind something else. Python's \S is narrower
-#: than the tokenizer's, so that what it takes for something else is so for both.
-_SAFE = re.compile(r"(?<=\S)[ \t\n\r]")
+#: A place that no pre-token of PATTERN crosses: common white space behind something else (Python's \S is narrower than
+#: the tokenizer's, so that what it takes for something else is so for both), and, for scripts without blanks, a mark or
+#: digit behind a letter, as no alternative takes either after a letter. Only letters and marks of any Unicode version.
+_SAFE = re.compile(r"(?<=\S)[ \t\n\r]|(?<=[ぁ-ゖァ-ヺ㐀-䶵一-鿋가-힣])[、。，．！？；：（）「」『』…·!-@\[-`{-~]")
 
 
 @lru_cache(maxsize=2)
 def encoder(folder: str, name: str):
-    """tiktoken's encoder for <folder>/<name>.tiktoken, once in a worker."""
+    """tiktoken's encoder for <folder>/<name>.tiktoken, once in a worker; where the folder is missing, the file sent along."""
     import tiktoken
 
-    with open(f"{folder}/{name}.tiktoken", "rb") as file:
+    path = f"{folder}/{name}.tiktoken"
+    with open(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in file if x.strip())}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -128,6 +132,7 @@ def encode_corpus(
     as leaves of the same monoid, and the chunks of a text are joined in the tree order by one task, which holds no
     more than the row that it returns. Other columns don't matter.
     """
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}.tiktoken")  # executors need no such folder
     out = f"{row_id} {dict(docs.dtypes)[row_id]}, " + ("n_tokens bigint" if lengths else "ids array<int>")
     slim = docs.select(F.col(row_id), F.coalesce(text, F.lit("")).alias("__text"))
 
