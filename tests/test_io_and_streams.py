@@ -72,7 +72,7 @@ def test_task_dirs(spark, tmp_path):
 
 
 def test_reports_and_code(spark):
-    text = 'log {"tests": [{"name": "a", "status": "PASSED"}, {"name": "b", "status": "FAILED"}]} end'
+    text = 'log {"tests": [{"name": "a", "status": "ERROR"}, {"name": "a", "status": "PASSED"}, {"name": "b", "status": "FAILED"}, {"status": "PASSED"}]} end'
     df = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(readers.report_statuses(F.col("t")).alias("m"))
     ok = lambda *n: readers.all_passed(F.array(*map(F.lit, n)), F.col("m"))
     assert [tuple(r) for r in df.select(ok("a").alias("x"), ok("a", "b").alias("y"), ok("z").alias("z")).collect()] == [(True, False, False), (False, False, False), (False, False, False)]

@@ -189,6 +189,12 @@ def test_fit():
     got = turns.fit(talk, 2500)
     assert got[0] == talk[0] and got[1] == talk[1] and sum(len(t) for _, t in got) <= 2500 and "[truncated]" in got[2][1]
     assert turns.fit(talk, 10_000) == talk and turns.fit(talk, 900) is None
+    # ends of the whole text, and the largest is cut first
+    talk = [("human", "first"), ("human", "".join(chr(97 + i % 26) for i in range(5000))), ("human", "y" * 1500), ("gpt", "z" * 100)]
+    got = turns.fit(talk, 4500)
+    assert got[2:] == talk[2:] and got[1][1].startswith(talk[1][1][:1000]) and got[1][1].endswith(talk[1][1][-1000:])
+    # what a cut wouldn't shorten stays
+    assert turns.fit([("human", ""), ("human", "x" * 310)], 305) is None
 
 
 def test_streaks_and_counters(spark):

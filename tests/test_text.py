@@ -129,7 +129,11 @@ def test_content_and_json(spark):
     assert values(spark, T.flat_content, content) == ["plain", "a\nb\nc\n", "t", "not json", "", "null"]
     got = values(spark, lambda x: T.json_object(x, "a int")["a"], ['```json\n{"a": 1}\n```', 'so: {"a": 2} ok', "none", None, '{"a": 3}'])
     assert got == [1, 2, None, None, 3]
-    assert values(spark, T.literal_list, ['["a", "b"]', "['a', \"b's\"]", "nope", None]) == [["a", "b"], ["a", "b's"], [], []]
+    told = ['["a", "b"]', "['a', \"b's\"]", "('a', None,)", "['a\\x41', 'b' 'c']", None, " "]
+    assert values(spark, T.literal_list, told) == [["a", "b"], ["a", "b's"], ["a", None], ["aA", "bc"], [], []]
+    assert values(spark, lambda x: T.literal_list(x, strict=False), ["nope", "f()"]) == [[], []]
+    with pytest.raises(Exception, match="neither JSON nor a Python list"):
+        values(spark, T.literal_list, ["nope"])
 
 
 def test_arrays(spark):
@@ -178,7 +182,7 @@ def test_python_functions(spark):
 
 @pytest.mark.parametrize("labels", [fixed.LABELS])
 def test_fixed_values_fit(labels):
-    assert all(len(s) == len(labels) for s in (*fixed.SKINS.values(), fixed.TRANSFER_SKIN))
+    assert all(list(s) == list(labels) for s in (*fixed.SKINS.values(), fixed.TRANSFER_SKIN))
 
 
 def test_render(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ast
 import base64
 import difflib
 import io
 import json
+import math
 import pickle
 import re
 import zlib
@@ -18,6 +20,29 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, St
 CASES = ArrayType(StructType([StructField(x, StringType()) for x in ("input", "output", "testtype")]))
 
 
+def python_list(text: Column, strict: bool = True) -> Column:
+    """An array of strings from a Python literal that holds several values; null stays, anything else raises or gives null."""
+
+    def one(x: str | None) -> list[str | None] | None:
+        if x is None:
+            return None
+        try:
+            value = ast.literal_eval(x.strip())
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            value = None
+        if isinstance(value, (list, tuple, set)):
+            return [None if v is None else str(v) for v in value]
+        if strict:
+            raise ValueError(f"neither JSON nor a Python list: {x[:80]!r}")
+        return None
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def lists(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in texts], dtype=object)
+
+    return lists(text)
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; nulls count as empty."""
@@ -41,7 +66,7 @@ def close_values(a: object, b: object, tolerance: float = 1e-6) -> bool:
     if isinstance(a, bool) or isinstance(b, bool):
         return a is b
     if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        return abs(a - b) <= max(tolerance * max(abs(a), abs(b)), tolerance)
+        return math.isclose(a, b, rel_tol=tolerance, abs_tol=tolerance)
     if isinstance(a, list) and isinstance(b, list):
         return len(a) == len(b) and all(close_values(x, y, tolerance) for x, y in zip(a, b))
     return a == b
@@ -82,7 +107,7 @@ class _Plain(pickle.Unpickler):
 def decode_cases(raw: str | None, most_bytes: int = 64 << 20) -> list[dict]:
     """Test cases from JSON, else from base64 over zlib over a pickled JSON text; nothing where neither holds.
 
-    The pickle may hold plain values only, and what it unpacks to is bounded.
+    The pickle may hold plain values only. What unpacks to more than `most_bytes` raises: it is never taken for no cases.
     """
     if not raw:
         return []
@@ -92,7 +117,7 @@ def decode_cases(raw: str | None, most_bytes: int = 64 << 20) -> list[dict]:
             engine = zlib.decompressobj()
             data = engine.decompress(base64.b64decode(raw, validate=True), most_bytes)
             if engine.unconsumed_tail:
-                return []
+                raise OverflowError(f"test cases of more than {most_bytes} bytes")
             value = _Plain(io.BytesIO(data)).load()
             value = json.loads(value) if isinstance(value, str) else value
         except (ValueError, zlib.error, pickle.UnpicklingError, EOFError, IndexError, KeyError, AttributeError, TypeError, MemoryError):

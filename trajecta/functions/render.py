@@ -23,8 +23,9 @@ def evidence(tests: Column, edits: Column, found: Column, inspected: Column, non
 
 
 def transcript(messages: Column, width: int, role: str = "role", content: str = "content") -> Column:
-    """Messages as `[role] text`, each cut to width."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("["), T.text_or_empty(m[role]), F.lit("] "), F.substring(T.text_or_empty(m[content]), 1, width))), "\n")
+    """Messages as `[role] text`: the assistant's whole, the others' (observations) cut to width."""
+    said = lambda m: F.when(F.lower(m[role]) == "assistant", T.text_or_empty(m[content])).otherwise(F.substring(T.text_or_empty(m[content]), 1, width))
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("["), T.text_or_empty(m[role]), F.lit("] "), said(m))), "\n")
 
 
 def digest(items: Column, lead: str, none: str) -> Column:

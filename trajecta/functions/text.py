@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trajecta.functions import fixed
+from trajecta.functions.pandas_udfs import python_list
 
 C = Column | str
 
@@ -224,11 +225,12 @@ def neutral_words(x: C) -> Column:
 
 def soften_redirect(x: C) -> Column:
     """Only `redirect` as a verb of attention becomes `turn`; the noun of the web stays."""
-    out, after = _c(x), r"\b(?=\s+(?:attention|focus|away|back|toward|towards))"
-    for form, to in (("ed", "turned"), ("ing", "turning"), ("s", "turns"), ("", "turn")):
-        out = F.regexp_replace(out, rf"(?i)\bredirect{form}{after}", to)
-    for form, to in (("ed", "turned"), ("", "turn")):
-        out = F.regexp_replace(out, rf"(?i)\b((?:should|would|could)\s+have\s+|have\s+)redirect{form}\b", f"$1{to}")
+    # one pass for each form, as a replacement can't choose
+    out = _c(x)
+    for ending, turn in fixed.TURNS.items():
+        out = F.regexp_replace(out, rf"(?i)\bredirect{ending}\b{fixed.ATTENTION}", turn)
+    for ending in ("", "ed"):
+        out = F.regexp_replace(out, rf"(?i)\b{fixed.PERFECT}redirect{ending}\b", f"$1{fixed.TURNS[ending]}")
     return out
 
 
@@ -239,11 +241,11 @@ def labels_in_order(x: C, labels: Sequence[str] = fixed.LABELS) -> Column:
     return F.transform(F.array_sort(F.array_compact(found)), lambda s: s["x"])
 
 
-def rename_labels(x: C, to: Sequence[str], labels: Sequence[str] = fixed.LABELS) -> Column:
+def rename_labels(x: C, names: Mapping[str, str]) -> Column:
     """The labels that begin a line under other names, longest first; the last line end is dropped."""
     def one(line: Column) -> Column:
         out = F.when(F.lit(False), line)
-        for a, b in sorted(zip(labels, to), key=lambda p: -len(p[0])):
+        for a, b in sorted(names.items(), key=lambda p: -len(p[0])):
             out = out.when(line.startswith(a + ":"), F.concat(F.lit(b), F.substr(line, F.lit(len(a) + 1))))
         return out.otherwise(line)
 
@@ -331,9 +333,21 @@ def json_object(x: C, schema: str) -> Column:
     return F.coalesce(ok(bare), ok(inner))
 
 
-def literal_list(x: C) -> Column:
-    """An array of strings from JSON or a Python list literal; empty where neither parses."""
-    return F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
+def literal_list(x: C, strict: bool = True) -> Column:
+    """An array of strings from JSON, else from a Python list, tuple or set literal; null and blank texts give none.
+
+    What parses as neither raises, so that a wall made of such lists never stands open; with strict off it gives none.
+    Only what isn't JSON goes through Python.
+    """
+    said, read = _c(x), F.from_json(x, "array<string>")
+    rest = F.when(read.isNull() & (strip(text_or_empty(said)) != ""), said)
+    return F.coalesce(read, python_list(rest, strict), F.array().cast("array<string>"))
+
+
+def last_of_key(entries: Column, key: str) -> Column:
+    """A map from an array of (key, value) structs; of equal keys the last one wins, null keys are left out."""
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o[key].eqNullSafe(e[key]))
+    return F.map_from_entries(F.filter(entries, lambda e, i: e[key].isNotNull() & ~later(e, i)))
 
 
 def crlf_to_lf(data: Column, window: int = 8192) -> Column:

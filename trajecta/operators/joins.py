@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fits_broadcast(df: DataFrame, most_rows: int = 100_000) -> bool:
-    """Whether a side has at most so many rows; counts no further than that."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def fits_broadcast(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 32 << 20) -> bool:
+    """Whether a side has at most so many rows and bytes (of its rows as JSON); looks no further than that many rows."""
+    head = df.limit(most_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    got = head.agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return got["n"] <= most_rows and got["b"] <= most_bytes
 
 
-def lookup(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
-    """A join that broadcasts the table only if it is small, and is left to the optimiser if not."""
-    return df.join(F.broadcast(table) if fits_broadcast(table, most_rows) else table, on, how)
+def lookup(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner", most_rows: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A join that broadcasts the table only if it is small in rows and bytes, and is left to the optimiser if not."""
+    return df.join(F.broadcast(table) if fits_broadcast(table, most_rows, most_bytes) else table, on, how)
 
 
 def beyond_wall(df: DataFrame, wall: DataFrame, key: str) -> DataFrame:
@@ -61,6 +63,24 @@ def merged_tables(parts: Sequence[DataFrame], key: str) -> DataFrame:
     return last_wins(out, key, "__o").drop("__o")
 
 
+def added_lines(after: DataFrame, before: DataFrame) -> DataFrame:
+    """What the one has beyond the other, each line as many times as it has more of it (a difference of multisets)."""
+    return after.exceptAll(before.select(*after.columns))
+
+
+def all_targets(*parts: DataFrame) -> DataFrame:
+    """The rows of any of the tables, each once; columns go by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def candidates_of_items(items: DataFrame, cands: DataFrame, item: str, owner: str = "instance_id", sep: str = "::") -> DataFrame:
+    """Items with their candidates and the instance that the item's name begins with; items without candidates are left out."""
+    return items.join(cands, item).withColumn(owner, F.split_part(F.col(item), F.lit(sep), F.lit(1)))
+
+
 def tagged_union(parts: dict[str, DataFrame], tag: str = "channel") -> DataFrame:
     """All rows of named tables with where they come from; a column that a table lacks is null."""
     out = None

@@ -44,6 +44,12 @@ def latest_by(df: DataFrame, by: Sequence[str], value: str, order: str) -> DataF
     return df.groupBy(*by).agg(F.max_by(value, order).alias(value))
 
 
+def latest_snapshots(df: DataFrame, by: Sequence[str], body: str, order: str, least: int = 40, width: int = 2500) -> DataFrame:
+    """The last real snapshot of each group, cut to width: an error or an empty read, of `least` characters or fewer, replaces none."""
+    real = df.withColumn(body, T.strip(body)).filter(F.length(body) > least)
+    return latest_by(real.withColumn(body, F.substring(body, 1, width)), by, body, order)
+
+
 def first_seen_top(df: DataFrame, by: Sequence[str], item: str, order: str, front: Column, n: int) -> DataFrame:
     """The first n distinct items of each group, those of `front` first, then by first appearance; with `place`."""
     seen = df.groupBy(*by, item).agg(F.min(order).alias("__at"), F.max(front.cast("int")).alias("__front"))

@@ -132,3 +132,42 @@ def signature(labels: Column) -> Column:
 def ratio(top: Column, bottom: Column, digits: int = 6) -> Column:
     """A quotient of sums, null for an empty denominator."""
     return F.round(F.try_divide(F.sum(top).cast("double"), F.sum(bottom).cast("double")), digits)
+
+
+def submit_behaviour(log: DataFrame, by: Sequence[str], order: str, submit: Column, failed: Column, test: Column, opens: Column) -> DataFrame:
+    """(*by, `premature`, `failed_attempts`, `redirects`) of each log.
+
+    premature: nothing was tested before the first submission (null without one). redirects: failed submissions after
+    which a new card opens. Three partial aggregates give the places that the second look counts against.
+    """
+    at = lambda agg, what: agg(F.when(what, F.col(order)))
+    ends = log.groupBy(*by).agg(at(F.min, submit).alias("__submit"), at(F.min, test).alias("__test"), at(F.max, opens).alias("__open"))
+    fails = log.filter(failed).join(ends.select(*by, "__open"), list(by)).groupBy(*by)
+    fails = fails.agg(F.count("*").alias("failed_attempts"), F.count_if(F.col("__open") > F.col(order)).alias("redirects"))
+    out = ends.join(fails, list(by), "left")
+    premature = F.when(F.col("__submit").isNotNull(), F.coalesce(F.col("__test") > F.col("__submit"), F.lit(True)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(*by, premature.alias("premature"), zero("failed_attempts"), zero("redirects"))
+
+
+def emission_counters(cands: DataFrame, item: str, text: str, extracted: Column) -> DataFrame:
+    """(`items`, `candidates_scored`, `extract_fallback`, `extract_fallback_frac`): what a run over candidates emitted.
+
+    A candidate whose text the extraction doesn't fit is scored whole: a fallback. The share is null without candidates.
+    """
+    fell = (~F.coalesce(extracted, F.lit(False))).cast("int")
+    return cands.agg(
+        F.countDistinct(item).alias("items"), F.count("*").alias("candidates_scored"), F.coalesce(F.sum(fell), F.lit(0)).cast("bigint").alias("extract_fallback"), F.round(F.avg(fell), 3).alias("extract_fallback_frac")
+    )
+
+
+def selection_report(nodes: DataFrame, subsets: dict[str, Column], picks: Sequence[str], base: str) -> DataFrame:
+    """(`subset`, `n`, a mean of each pick, `delta_<pick>` against base): a block for each subset of nodes, nulls where it is empty.
+
+    One pass: each node goes once into every subset that it belongs to.
+    """
+    rows = nodes.withColumn("subset", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in subsets.items()]))))
+    means = [F.round(F.avg(p), 6).alias(p) for p in picks] + [F.round(F.avg(p) - F.avg(base), 6).alias(f"delta_{p}") for p in picks if p != base]
+    got = rows.groupBy("subset").agg(F.count("*").alias("n"), *means)
+    names = nodes.sparkSession.createDataFrame([(x,) for x in subsets], "subset string")
+    return names.join(got, "subset", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -47,6 +47,19 @@ def tiers_of(rankings: DataFrame, node: str = "node_id") -> DataFrame:
     return zipped.select(node, F.explode("members").alias("cand"), F.try_element_at("tiers", F.col("g") + 1).alias("tier"))
 
 
+def rank_positions(rankings: DataFrame, node: str = "node_id", groups: str = "groups", ranking: str = "ranking", tiers: str = "tiers") -> DataFrame:
+    """(node, `cand`, `rank`): each candidate's place, 0 the best, from groups of equal candidates and their order.
+
+    ranking orders the numbers of the groups (from 0), best first. Where a judge gave tiers, the place is that of the
+    tier, as groups of one tier don't differ. Nodes with one group only (clones) give nothing.
+    """
+    top = max(fixed.TIER_LADDER.values())
+    step = lambda t: top - T.ladder(t, fixed.TIER_LADDER)
+    rows = rankings.filter(F.size(groups) > 1).select(node, F.posexplode(groups).alias("__g", "__members"), F.col(ranking).alias("__r"), F.col(tiers).alias("__t"))
+    place = F.when(F.size("__t") > 0, step(F.try_element_at("__t", F.col("__g") + 1))).otherwise(F.array_position("__r", F.col("__g")).cast("int") - 1)
+    return rows.select(node, F.explode("__members").alias("cand"), place.alias("rank")).filter("rank >= 0")
+
+
 def not_worse(rankings: DataFrame, cands: DataFrame, node: str = "node_id", number: str = "cand_idx", text: str = "text") -> DataFrame:
     """(node, text) of the candidates that a judge puts on par or above."""
     par = tiers_of(rankings, node).filter(F.col("tier").isin("par", "above"))
@@ -60,8 +73,8 @@ def above_the_real(rankings: DataFrame, cands: DataFrame, real: DataFrame, node:
 
 
 def label_of_text(cands: DataFrame, labels: str, texts: str) -> Column:
-    """A map from folded text to label out of parallel arrays, the last one wins (set mapKeyDedupPolicy to LAST_WIN)."""
-    return F.map_from_entries(F.arrays_zip(F.transform(texts, T.fold_key).alias("k"), F.col(labels).alias("v")))
+    """A map from folded text to label out of parallel arrays; of texts that fold alike the last one wins."""
+    return T.last_of_key(F.arrays_zip(F.transform(texts, T.fold_key).alias("k"), F.col(labels).alias("v")), "k")
 
 
 def valid_partition(groups: Column, k: Column) -> Column:

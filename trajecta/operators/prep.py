@@ -75,3 +75,30 @@ def accounting(df: DataFrame, reason: str = "reason") -> DataFrame:
 def gate(n: int, least: int) -> tuple[bool, str]:
     """Whether enough is kept to train, and a line that says so."""
     return n >= least, f"{'GO' if n >= least else 'NO-GO'}: {n} kept, {least} needed"
+
+
+def new_work(work: DataFrame, done: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+    """At most so many rows of work that isn't done, in the given order: the limit counts new work only."""
+    return work.join(done.select(key).distinct(), key, "left_anti").orderBy(*order, key).limit(most)
+
+
+def worst(df: DataFrame, score: Column, n: int, *ties: str) -> DataFrame:
+    """The n rows with the largest score (a top-k report), nulls last, ties by the given columns."""
+    return df.orderBy(score.desc_nulls_last(), *ties).limit(n)
+
+
+def progress(df: DataFrame, by: str, order: Sequence[str], failed: Column) -> DataFrame:
+    """df with `done` and `failed`: how many rows of their group had ended with each row, and how many of them had failed."""
+    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("done", F.count("*").over(w)).withColumn("failed", F.sum(F.coalesce(failed, F.lit(False)).cast("bigint")).over(w))
+
+
+def protocol_tag(source: Column, protocol: Column, leaking: Sequence[str]) -> Column:
+    """A sample's protocol: `raw_leak` stays only where its source is one that such feedback reaches; elsewhere it is `none`."""
+    return F.when((protocol == "raw_leak") & ~F.coalesce(source.isin(*leaking), F.lit(False)), "none").otherwise(protocol)
+
+
+def registry(df: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, `entry`): each key's set of members, sorted, as one JSON object."""
+    sets = df.filter(F.col(key).isNotNull() & F.col(member).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(member)).alias(member))
+    return sets.select(key, F.to_json(F.struct(key, member)).alias("entry"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -70,22 +71,30 @@ def head_and_recent(parts: DataFrame, by: Sequence[str], budget: int, order: str
     return out.select(*by, order, "place", text)
 
 
+CUT = "\n...[truncated]...\n"
+
+
 def fit(turns: list[tuple[str, str]], budget: int, floor: int = 300) -> list[tuple[str, str]] | None:
-    """Observations halved, the largest first, until all fits; the first turn and the reasoning stay. None if nothing helps."""
-    turns = [tuple(t) for t in turns]
-    over = sum(len(t) for _, t in turns) - budget
-    for _ in range(2000):
-        open_ = [(-len(t), i) for i, (who, t) in enumerate(turns) if who == "human" and i and len(t) > floor]
-        if over <= 0 or not open_:
-            break
-        i = min(open_)[1]
-        text = turns[i][1]
-        keep = max(floor, len(text) // 2)
-        # the tail rounds up on odd lengths
-        short = text[: keep // 2] + "\n...[truncated]...\n" + text[-(-(-keep // 2)) :]
-        over += len(short) - len(text)
-        turns[i] = ("human", short)
-    return turns if over <= 0 else None
+    """Observations halved, the largest first, until all fits; the first turn and the reasoning stay. None if nothing helps.
+
+    Only lengths are halved, in a heap; each text is cut once at the end, as cutting a cut text again leaves the same
+    ends of it. An observation that a cut wouldn't shorten, because of `floor` or the mark, is left alone.
+    """
+    over, kept = sum(len(t) for _, t in turns) - budget, {}
+    heap = [(-len(t), i) for i, (who, t) in enumerate(turns) if i and who == "human"]
+    heapq.heapify(heap)
+    while over > 0 and heap:
+        size, i = -heap[0][0], heap[0][1]
+        half = max(floor, size // 2)
+        if half + len(CUT) < size:
+            kept[i], over = half, over - size + half + len(CUT)
+            heapq.heapreplace(heap, (-half - len(CUT), i))
+        else:
+            heapq.heappop(heap)
+    if over > 0:
+        return None
+    ends = lambda t, n: t[: n // 2] + CUT + t[len(t) - (n + 1) // 2 :]
+    return [(who, ends(t, kept[i]) if i in kept else t) for i, (who, t) in enumerate(turns)]
 
 
 def fit_conversations(df: DataFrame, turns: str, budget: int, floor: int = 300) -> DataFrame:

@@ -166,9 +166,12 @@ def protocol_class(s: SparkSession, d: str) -> DataFrame:
     return _log(s, d).groupBy("instance_id").agg(F.when(has("Sanitized test-feedback direction"), "sanitized").when(has("guidance round", "tests FAILED"), "raw_leak").otherwise("none").alias("protocol"))
 
 
-@REG.add("context_overflow", "select count(*) as n, count(*) filter (where contains(lower(text), 'context window') or contains(lower(text), 'too many tokens') or contains(lower(text), 'maximum context')) as overflow from documents")
+OVERFLOW_SQL = " or ".join(f"contains(lower(text), '{x}')" for x in fixed.OVERFLOW_MARKERS)
+
+
+@REG.add("context_overflow", f"select count(*) as n, count(*) filter (where {OVERFLOW_SQL}) as overflow from documents")
 def context_overflow(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").agg(F.count("*").alias("n"), F.count_if(T.contains_any(F.lower("text"), ("context window", "too many tokens", "maximum context"))).alias("overflow"))
+    return table(s, d, "documents").agg(F.count("*").alias("n"), F.count_if(T.is_context_overflow("text")).alias("overflow"))
 
 
 @REG.add("message_roles", "with m as (select unnest(messages) as m from sft_samples) select lower(m.role) as role, count(*) as n, count(*) filter (where contains(m.content, 'HYPOTHESIS:')) as hypotheses from m group by 1")
@@ -224,11 +227,15 @@ def card_found_top8(s: SparkSession, d: str) -> DataFrame:
     return ledger.first_seen_top(hits, ["instance_id", "card"], "item", "idx", T.contains_any("item", ("m1", "m2")), 8)
 
 
-@REG.add("latest_snapshot", f"with {CARD_SQL} select instance_id, card, split_part(text, ':', 1) as file, max_by(text, idx) as text from placed where event_type = 'view' group by 1, 2, 3")
+BODY_SQL = "trim(text || repeat(' line ' || idx || ' of it', (idx % 500)::int))"
+
+
+@REG.add("latest_snapshot", f"with {CARD_SQL}, v as (select instance_id, card, split_part(text, ':', 1) as file, idx, {BODY_SQL} as body from placed where event_type = 'view') select instance_id, card, file, max_by(substr(body, 1, 2500), idx) as body from v where length(body) > 40 group by 1, 2, 3")
 def latest_snapshot(s: SparkSession, d: str) -> DataFrame:
-    """The last view of each file in each card."""
-    views = _opened(s, d).filter("event_type = 'view'").withColumn("file", F.split_part("text", F.lit(":"), F.lit(1)))
-    return ledger.latest_by(views, ["instance_id", "card", "file"], "text", "idx")
+    """The last view of each file in each card that is more than an error, cut to 2,500 characters."""
+    body = F.concat("text", F.repeat(F.concat(F.lit(" line "), F.col("idx").cast("string"), F.lit(" of it")), (F.col("idx") % 500).cast("int")))
+    views = _opened(s, d).filter("event_type = 'view'").withColumn("file", F.split_part("text", F.lit(":"), F.lit(1))).withColumn("body", body)
+    return ledger.latest_snapshots(views, ["instance_id", "card", "file"], "body", "idx")
 
 
 @REG.add(
@@ -351,7 +358,7 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
     return _instances(s, d).select("instance_id", T.test_tokens(T.literal_list("fail_to_pass")).alias("tokens"))
 
 
-@REG.add("hidden_test_tokens", f"with {TOKENS_SQL} select instance_id, len(tokens) as n, array_to_string(tokens, ' ') as tokens from tokens where fail_to_pass_ok" .replace("where fail_to_pass_ok", ""))
+@REG.add("hidden_test_tokens", f"with {TOKENS_SQL} select instance_id, len(tokens) as n, array_to_string(tokens, ' ') as tokens from tokens")
 def hidden_test_tokens(s: SparkSession, d: str) -> DataFrame:
     """Tokens of hidden tests of each instance."""
     return _tokens(s, d).select("instance_id", F.size("tokens").cast("bigint").alias("n"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
@@ -441,8 +448,8 @@ def labels_in_order(s: SparkSession, d: str) -> DataFrame:
 @REG.add("renamed_labels")
 def renamed_labels(s: SparkSession, d: str) -> DataFrame:
     """Answers under other labels, with the note that asks for them."""
-    names = dict(zip(fixed.LABELS, fixed.SKINS["review"]))
-    return _answers(s, d).select("sample_id", T.rename_labels("a", fixed.SKINS["review"]).alias("answer"), T.schema_note(T.labels_in_order("a"), names).alias("note"))
+    names = fixed.SKINS["review"]
+    return _answers(s, d).select("sample_id", T.rename_labels("a", names).alias("answer"), T.schema_note(T.labels_in_order("a"), names).alias("note"))
 
 
 @REG.add("section_split", f"with {ANSWER_SQL} select sample_id, regexp_extract(a, '(?s)HYPOTHESIS: (.*?)(?:\\nREASONING:|\\z)', 1) as hypothesis, regexp_extract(a, '(?s)REASONING: (.*?)\\z', 1) as reasoning from answers where a is not null")
@@ -677,10 +684,14 @@ def grouped_marginals(s: SparkSession, d: str) -> DataFrame:
     return metrics.marginals(_samples(s, d), "source", "type")
 
 
-@REG.add("margin_quantiles", "with v as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null) select event_type, value as p90 from v where i = floor(0.9 * n)")
+@REG.add("margin_quantiles", "with v as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null) select event_type, round(avg(value), 4) as mean, max(value) filter (where i = floor(0.5 * n)) as median, max(value) filter (where i = floor(0.9 * n)) as p90 from v group by 1")
 def margin_quantiles(s: SparkSession, d: str) -> DataFrame:
-    """The discrete ninth decile of each group."""
-    return metrics.quantile_at(table(s, d, "events").select("event_type", "value"), ["event_type"], "value", 0.9, "p90")
+    """Mean, discrete median and ninth decile of each group."""
+    rows = table(s, d, "events").select("event_type", "value").filter("value is not null")
+    got = rows.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
+    for q, name in ((0.5, "median"), (0.9, "p90")):
+        got = got.join(metrics.quantile_at(rows, ["event_type"], "value", q, name), "event_type")
+    return got
 
 
 @REG.add("score_spread", "select count(*) as n, max(greatest(length(chosen), length(rejected))) - min(least(length(chosen), length(rejected))) as spread from preference_pairs")
@@ -849,11 +860,12 @@ def known_instances(s: SparkSession, d: str) -> DataFrame:
     return joins.lookup(_pairs(s, d).select("instance_id"), _instances(s, d).select("instance_id"), "instance_id").agg(F.count("*").alias("n"), F.countDistinct("instance_id").alias("ids"))
 
 
-@REG.add("set_difference", "select instance_id from instances where instance_id not in (select instance_id from outcomes where instance_id is not null) and instance_id not in (select instance_id from preference_pairs where instance_id is not null)")
+@REG.add("set_difference", "select i.instance_id from instances i where not exists (select 1 from eval_items e where e.instance_id = i.instance_id) and not exists (select 1 from sft_samples f where f.type = 'fix' and f.instance_id = i.instance_id) and exists (select 1 from outcomes o where o.instance_id = i.instance_id)")
 def set_difference(s: SparkSession, d: str) -> DataFrame:
-    """Instances without outcome and without pair."""
-    left = joins.beyond_wall(_instances(s, d).select("instance_id"), table(s, d, "outcomes"), "instance_id")
-    return joins.beyond_wall(left, _pairs(s, d), "instance_id")
+    """Instances in no evaluation item and no fix, but with an outcome."""
+    left = joins.beyond_wall(_instances(s, d).select("instance_id"), table(s, d, "eval_items"), "instance_id")
+    left = joins.beyond_wall(left, _samples(s, d).filter("type = 'fix'"), "instance_id")
+    return joins.wall_hits(left, table(s, d, "outcomes"), "instance_id")
 
 
 @REG.add("sources_of_instance", "select instance_id, string_agg(distinct source, '/' order by source) as sources from sft_samples where source is not null and instance_id is not null group by 1")
@@ -878,12 +890,126 @@ def nth_row(s: SparkSession, d: str) -> DataFrame:
     return _instances(s, d).select("instance_id").orderBy("instance_id").offset(10).limit(1)
 
 
-@REG.add("refuted_match", "with r as (select instance_id, lower(trim(regexp_replace(unnest(refuted_hypotheses), '\\s+', ' ', 'g'))) as r from outcomes), p as (select pair_id, instance_id, lower(trim(regexp_replace(chosen, '\\s+', ' ', 'g'))) as c from preference_pairs) select distinct pair_id from p join r using (instance_id) where c <> '' and (c = r or (least(length(c), length(r)) >= 60 and (starts_with(c, r) or starts_with(r, c))))")
+@REG.add("refuted_match", "with r as (select instance_id, unnest(refuted_hypotheses) as r from outcomes), n as (select instance_id, lower(trim(regexp_replace(upper(substr(r, 1, 70)), '\\s+', ' ', 'g'))) as r from r), o as (select instance_id, lower(trim(regexp_replace(r, '\\s+', ' ', 'g'))) as c from r) select distinct o.instance_id, o.c as said from o join n using (instance_id) where o.c <> '' and (o.c = n.r or (least(length(o.c), length(n.r)) >= 60 and (starts_with(o.c, n.r) or starts_with(n.r, o.c))))")
 def refuted_match(s: SparkSession, d: str) -> DataFrame:
-    """Chosen answers that were refuted, equal or one the beginning of the other."""
-    told = table(s, d, "outcomes").select("instance_id", F.explode("refuted_hypotheses").alias("r"))
-    both = _pairs(s, d).select("pair_id", "instance_id", "chosen").join(told, "instance_id")
-    return both.filter(T.same_or_cut(F.col("chosen"), F.col("r"), 60)).select("pair_id").distinct()
+    """Hypotheses that were refuted on their instance, as a list of shortened ones in capitals tells."""
+    said = table(s, d, "outcomes").select("instance_id", F.explode("refuted_hypotheses").alias("said"))
+    told = said.select("instance_id", F.upper(F.substring("said", 1, 70)).alias("r"))
+    both = said.join(told, "instance_id").filter(T.same_or_cut(F.col("said"), F.col("r"), 60))
+    return both.select("instance_id", F.lower(T.normalise_line("said")).alias("said")).distinct()
+
+
+@REG.add("line_difference", "select case_, count(*) as n from (select chosen_label as case_ from preference_pairs except all select rejected_label from preference_pairs) group by 1")
+def line_difference(s: SparkSession, d: str) -> DataFrame:
+    """Labels of chosen answers beyond those of rejected ones, each as often as there are more of it."""
+    rows = _pairs(s, d)
+    return joins.added_lines(rows.select(F.col("chosen_label").alias("case_")), rows.select(F.col("rejected_label").alias("case_"))).groupBy("case_").agg(F.count("*").alias("n"))
+
+
+@REG.add("all_targets", "select instance_id from eval_items where instance_id is not null union select instance_id from sft_samples where type = 'fix' and instance_id is not null")
+def all_targets(s: SparkSession, d: str) -> DataFrame:
+    """Instances of evaluation items or of fixes, each once."""
+    named = [x.select("instance_id").filter("instance_id is not null") for x in (table(s, d, "eval_items"), _samples(s, d).filter("type = 'fix'"))]
+    return joins.all_targets(*named)
+
+
+@REG.add("registry_json", "select instance_id, to_json({'instance_id': instance_id, 'source': list_sort(list_distinct(list(source)))})::varchar as entry from sft_samples where source is not null and instance_id is not null group by 1")
+def registry_json(s: SparkSession, d: str) -> DataFrame:
+    """The sources of each instance as a JSON object."""
+    return prep.registry(_samples(s, d), "instance_id", "source")
+
+
+@REG.add("new_work_head", "select i.instance_id from instances i where not exists (select 1 from eval_items e where e.instance_id = i.instance_id) order by length(i.patch) desc nulls last, i.instance_id limit 20")
+def new_work_head(s: SparkSession, d: str) -> DataFrame:
+    """The first twenty instances that no item stands for yet, the longest patch first (a top-k report)."""
+    return prep.new_work(_instances(s, d), table(s, d, "eval_items"), "instance_id", 20, F.length("patch").desc_nulls_last()).select("instance_id")
+
+
+@REG.add("worst_runs", "select instance_id, run_id, n_messages from outcomes order by unchanged_resubmits desc nulls last, instance_id, run_id, n_messages limit 8")
+def worst_runs(s: SparkSession, d: str) -> DataFrame:
+    """The eight outcomes with most unchanged resubmissions (a top-k report)."""
+    return prep.worst(table(s, d, "outcomes"), F.col("unchanged_resubmits"), 8, "instance_id", "run_id", "n_messages").select("instance_id", "run_id", "n_messages")
+
+
+@REG.add("progress_numbers", "with o as (select distinct run_id, instance_id, finished_at, outcome from outcomes), p as (select run_id, count(*) over w as done, sum((coalesce(outcome = 'failed', false))::bigint) over w as failed from o window w as (partition by run_id order by finished_at, instance_id, outcome rows unbounded preceding)) select run_id, done, failed::bigint as failed from p")
+def progress_numbers(s: SparkSession, d: str) -> DataFrame:
+    """How many outcomes of a run had come in with each, and how many of them had failed."""
+    rows = table(s, d, "outcomes").select("run_id", "instance_id", "finished_at", "outcome").distinct()
+    order = [F.col(c).asc_nulls_last() for c in ("finished_at", "instance_id", "outcome")]
+    return prep.progress(rows, "run_id", order, F.col("outcome") == "failed").select("run_id", "done", "failed")
+
+
+@REG.add("protocol_tags", "select type, case when protocol = 'raw_leak' and not coalesce(source in ('self_rescue', 'oracle'), false) then 'none' else protocol end as protocol, count(*) as n from sft_samples group by 1, 2")
+def protocol_tags(s: SparkSession, d: str) -> DataFrame:
+    """Samples by protocol, where leaking feedback counts only for sources that it reaches."""
+    tag = prep.protocol_tag(F.col("source"), F.col("protocol"), ["self_rescue", "oracle"])
+    return _samples(s, d).groupBy("type", tag.alias("protocol")).agg(F.count("*").alias("n"))
+
+
+@REG.add("items_with_candidates", "select split_part(i.item_id, '::', 1) as owner, count(*) as n, count(distinct i.item_no) as items from eval_items i join preference_pairs p on p.instance_id || '::' || p.node || '::propose' = i.item_id group by 1")
+def items_with_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of evaluation items by the instance that the item's name begins with."""
+    cands = _pairs(s, d).select(F.concat("instance_id", F.lit("::"), "node", F.lit("::propose")).alias("item_id"))
+    got = joins.candidates_of_items(table(s, d, "eval_items").select("item_id", "item_no"), cands, "item_id", "owner")
+    return got.groupBy("owner").agg(F.count("*").alias("n"), F.countDistinct("item_no").alias("items"))
+
+
+@REG.add(
+    "submit_behaviour",
+    f"""with {CARD_SQL}, e as (select instance_id, min(idx) filter (where event_type = 'purchase') as submit, min(idx) filter (where event_type = 'signup') as test from log group by 1),
+    op as (select instance_id, max(idx) as last_open from opened group by 1), f as (select l.instance_id, count(*) as fails, count(*) filter (where op.last_open > l.idx) as redirects from log l left join op using (instance_id) where l.event_type = 'error' group by 1)
+    select count(*) as n, round(avg(case when submit is not null then coalesce(test > submit, true)::int end), 6) as premature_rate, round(sum(coalesce(redirects, 0))::double / sum(coalesce(fails, 0)), 6) as redirect_rate from e left join f using (instance_id)""",
+)
+def submit_behaviour(s: SparkSession, d: str) -> DataFrame:
+    """How often logs submit untested, and how often a failed submission leads to a new card."""
+    kind = lambda x: F.col("event_type") == x
+    got = metrics.submit_behaviour(_opened(s, d), ["instance_id"], "idx", kind("purchase"), kind("error"), kind("signup"), F.col("opens"))
+    return got.agg(F.count("*").alias("n"), F.round(F.avg(F.col("premature").cast("int")), 6).alias("premature_rate"), metrics.ratio(F.col("redirects"), F.col("failed_attempts")).alias("redirect_rate"))
+
+
+@REG.add("emission_counters", "select count(distinct instance_id) as items, count(*) as candidates_scored, coalesce(sum((not coalesce(contains(chosen, 'HYPOTHESIS:'), false))::int), 0)::bigint as extract_fallback, round(avg((not coalesce(contains(chosen, 'HYPOTHESIS:'), false))::int), 3) as extract_fallback_frac from preference_pairs")
+def emission_counters(s: SparkSession, d: str) -> DataFrame:
+    """Candidates scored, and those whose hypothesis could not be extracted."""
+    return metrics.emission_counters(_pairs(s, d), "instance_id", "chosen", F.contains("chosen", F.lit("HYPOTHESIS:")))
+
+
+@REG.add(
+    "selection_report",
+    f"""with {CANDS}, n as (select node_id, bool_or(label = 'correct') and bool_or(label = 'wrong') as mixed, (max_by(label, score * 1000000 - cand_idx) = 'correct')::int as best, (min_by(label, cand_idx) = 'correct')::int as first, avg((coalesce(label, '') = 'correct')::int) as random from cands where label is not null group by 1),
+    x as (select 'all' as subset, * from n union all select 'mixed', * from n where mixed union all select 'none', * from n where false)
+    select v.subset, count(x.node_id) as n, round(avg(best), 6) as best, round(avg(first), 6) as first, round(avg(random), 6) as random, round(avg(best) - avg(random), 6) as delta_best, round(avg(first) - avg(random), 6) as delta_first from (values ('all'), ('mixed'), ('none')) v(subset) left join x using (subset) group by 1""",
+)
+def selection_report(s: SparkSession, d: str) -> DataFrame:
+    """How often the best-scored, the first and a random candidate are right, over all nodes, mixed ones, and an empty subset."""
+    c = _cands(s, d).filter("label is not null")
+    right = lambda x: (x == "correct").cast("int")
+    nodes = c.groupBy("node_id").agg(
+        (F.bool_or(F.col("label") == "correct") & F.bool_or(F.col("label") == "wrong")).alias("mixed"),
+        right(F.max_by("label", F.col("score") * 1000000 - F.col("cand_idx"))).alias("best"), right(F.min_by("label", "cand_idx")).alias("first"), F.avg(right(F.col("label"))).alias("random"),
+    )
+    return metrics.selection_report(nodes, {"all": F.lit(True), "mixed": F.col("mixed"), "none": F.lit(False)}, ["best", "first", "random"], "random")
+
+
+@REG.add("above_the_real", f"with {CANDS}, real as (select * from cands where cand_idx = 1) select a.node_id, count(*) as pairs from cands a join real b on a.node_id = b.node_id where a.label = 'correct' and lower(a.text) <> lower(b.text) group by 1")
+def above_the_real(s: SparkSession, d: str) -> DataFrame:
+    """Candidates that a judge puts above a node's first one, against it; the judge's groups come from the labels."""
+    c = _cands(s, d).select("node_id", "cand_idx", "label", "text")
+    judged = c.filter("label is not null").groupBy("node_id", "label").agg(F.array_sort(F.collect_list("cand_idx")).alias("g"))
+    judged = judged.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("label", "g"))).alias("x"))
+    tier = lambda t: F.when(t["label"] == "correct", "above").when(t["label"] == "partial", "par").otherwise("below")
+    judged = judged.select("node_id", F.transform("x", lambda t: t["g"]).alias("groups"), F.transform("x", tier).alias("tiers"))
+    return pairs.above_the_real(judged, c.select("node_id", "cand_idx", "text"), c.filter("cand_idx = 1")).groupBy("node_id").agg(F.count("*").alias("pairs"))
+
+
+@REG.add("rank_positions", f"with {CANDS}, g as (select node_id, label, max(score) as top from cands where label is not null group by 1, 2), r as (select *, row_number() over (partition by node_id order by top desc, label) - 1 as rank, count(*) over (partition by node_id) as n from g) select c.node_id, c.cand_idx as cand, r.rank::int as rank from cands c join r on r.node_id = c.node_id and r.label = c.label where r.n > 1")
+def rank_positions(s: SparkSession, d: str) -> DataFrame:
+    """Each candidate's place by the order of its group, groups being ordered by their best score."""
+    c = _cands(s, d).filter("label is not null")
+    g = c.groupBy("node_id", "label").agg(F.array_sort(F.collect_list("cand_idx")).alias("members"), F.max("score").alias("top"))
+    g = g.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("label", "members", "top"))).alias("x"))
+    order = F.transform(F.array_sort(F.transform("x", lambda t, i: F.struct((-t["top"]).alias("s"), t["label"], i.alias("i")))), lambda t: t["i"])
+    judged = g.select("node_id", F.transform("x", lambda t: t["members"]).alias("groups"), order.alias("ranking"), F.array().cast("array<string>").alias("tiers"))
+    return pairs.rank_positions(judged).select("node_id", "cand", "rank")
 
 
 # ---- hooks and streams ----------------------------------------------------------------------------------------------
@@ -956,17 +1082,16 @@ def hard_multi_hunk(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("difficulty").agg(F.count("*").alias("n"))
 
 
-@REG.add("transcripts", "select sample_id, sha1(array_to_string(list_transform(messages, lambda m: '[' || coalesce(m.role, '') || '] ' || substr(coalesce(m.content, ''), 1, 60)), chr(10))) as print from sft_samples")
+@REG.add("transcripts", "select sample_id, sha1(array_to_string(list_transform(messages, lambda m: '[' || coalesce(m.role, '') || '] ' || case when lower(m.role) = 'assistant' then coalesce(m.content, '') else substr(coalesce(m.content, ''), 1, 800) end), chr(10))) as print from sft_samples")
 def transcripts(s: SparkSession, d: str) -> DataFrame:
-    """Conversations as short transcripts."""
-    return _samples(s, d).select("sample_id", F.sha1(render.transcript(F.col("messages"), 60).cast("binary")).alias("print"))
+    """Conversations as transcripts: what the assistant says whole, the rest cut to 800 characters each."""
+    return _samples(s, d).select("sample_id", F.sha1(render.transcript(F.col("messages"), 800).cast("binary")).alias("print"))
 
 
-@REG.add("refuted_digest", "select instance_id, run_id, finished_at::varchar as at_, case when len(refuted_hypotheses) > 0 then list_extract(refuted_hypotheses, 1) end as first, coalesce(len(refuted_hypotheses), 0) as n from outcomes".replace("finished_at::varchar as at_, ", "n_messages, "))
+@REG.add("refuted_digest", "select instance_id, run_id, n_messages, case when len(refuted_hypotheses) > 0 then array_to_string(list_transform(refuted_hypotheses, lambda x, i: 'H' || i || ': ' || x), chr(10)) else '(none)' end as refuted from outcomes")
 def refuted_digest(s: SparkSession, d: str) -> DataFrame:
-    """Refuted hypotheses of each outcome: the first, and how many."""
-    r = F.col("refuted_hypotheses")
-    return table(s, d, "outcomes").select("instance_id", "run_id", "n_messages", F.try_element_at(r, F.lit(1)).alias("first"), F.coalesce(F.when(r.isNotNull(), F.size(r)), F.lit(0)).cast("bigint").alias("n"))
+    """Refuted hypotheses of each outcome as a numbered list."""
+    return table(s, d, "outcomes").select("instance_id", "run_id", "n_messages", render.digest(F.col("refuted_hypotheses"), "H", "(none)").alias("refuted"))
 
 
 @REG.add("failure_feedback")
@@ -977,10 +1102,10 @@ def failure_feedback(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "outcomes").select("instance_id", "run_id", render.feedback(failed, hidden).alias("feedback"), render.digest(F.col("refuted_hypotheses"), "H", "(none)").alias("refuted"))
 
 
-@REG.add("prompt_template", "select item_no, concat_ws(chr(10) || chr(10), 'ISSUE:' || chr(10) || nullif(substr(input, 1, 200), ''), 'EXPECTED:' || chr(10) || nullif(expected, ''), 'Name one cause.') as prompt from eval_items")
+@REG.add("prompt_template", "select item_no, concat_ws(chr(10) || chr(10), 'ISSUE:' || chr(10) || nullif(substr(input, 1, 3000), ''), 'EXPECTED:' || chr(10) || nullif(expected, ''), 'Name one cause.') as prompt from eval_items")
 def prompt_template(s: SparkSession, d: str) -> DataFrame:
     """Prompts from headed blocks; what is missing is left out."""
-    blocks = [("ISSUE:", F.substring("input", 1, 200)), ("EXPECTED:", F.col("expected"))]
+    blocks = [("ISSUE:", F.substring("input", 1, 3000)), ("EXPECTED:", F.col("expected"))]
     return table(s, d, "eval_items").select("item_no", render.prompt(blocks, "Name one cause.").alias("prompt"))
 
 

@@ -29,15 +29,25 @@ def get_session(app: str = "trajecta", cores: int | None = None, shuffle_partiti
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where the session sets no folder (tests on one machine) a local one is made. The files are
+    Only where a session on one machine sets no folder (tests) a local one is made. The files are
     shared storage, so losing an executor loses nothing.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trajecta-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A session on one machine without it gets a temporary one, a cluster an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="trajecta-ckpt-")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a Python stage: enough for every core, and as many as the shuffle setting asks for."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -109,10 +109,10 @@ def task_dirs(spark: SparkSession, root: str, files: Sequence[str] = ("task.toml
 
 
 def report_statuses(text: Column) -> Column:
-    """A map from test name to status out of a report with prose around it; empty where nothing parses."""
+    """A map from test name to status out of a report with prose around it, the last status of a name; empty where nothing parses."""
     found = T.json_object(text, "tests array<struct<name:string,status:string>>")
     entries = F.transform(found["tests"], lambda t: F.struct(t["name"].alias("key"), t["status"].alias("value")))
-    return F.coalesce(F.map_from_entries(entries), F.from_json(F.lit("{}"), "map<string,string>"))
+    return F.coalesce(T.last_of_key(entries, "key"), F.from_json(F.lit("{}"), "map<string,string>"))
 
 
 def all_passed(names: Column, statuses: Column) -> Column:

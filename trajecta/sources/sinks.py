@@ -75,16 +75,24 @@ def sampled_text(df: DataFrame, path: str, text: str, row: str, n: int, seed: st
 
 
 def poison(spark: SparkSession, path: str, ids: DataFrame, key: str) -> None:
-    """A list of keys to skip: the stored ones and new ones, each once, in order. The new list is written aside first."""
-    try:
-        ids = ids.select(key).union(spark.read.json(path).select(key))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows = ids.distinct().orderBy(key).persist()
-    rows.count()
-    rows.coalesce(1).write.mode("overwrite").json(path)
-    rows.unpersist()
+    """A list of keys to skip: the stored ones and new ones, each once, in order.
+
+    The new list is written beside the old one and takes its name only when it is complete, so that a lost executor or
+    a broken run leaves one of the two whole; what a broken run left beside is picked up by the next.
+    """
+    fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    ids = ids.select(key)
+    for stored in (path, old):
+        if fs.exists(fs_path(stored)):
+            ids = ids.union(spark.read.schema(f"{key} {dict(ids.dtypes)[key]}").json(stored))
+    ids.distinct().orderBy(key).write.mode("overwrite").json(fresh)
+    if fs.exists(fs_path(path)):
+        fs.delete(fs_path(old), True)
+        fs.rename(fs_path(path), fs_path(old))
+    fs.rename(fs_path(fresh), fs_path(path))
+    fs.delete(fs_path(old), True)
 
 
 def mark_done(spark: SparkSession, path: str, ids: DataFrame, key: str, version: str) -> None:

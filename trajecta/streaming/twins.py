@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trajecta.session import shared_folder
+
 
 def incremental_rows(spark: SparkSession, folder: str, schema: str, key: str, fmt: str = "parquet", files: int = 8) -> DataFrame:
     """A stream of a folder's rows, each key once over all batches: the state holds keys, never rows."""
@@ -38,9 +39,10 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, late: str, *by: str)
 def settled_counts(spark: SparkSession, path: str, key: str, by: str) -> DataFrame:
     """Counts of a file's or folder's rows by a column, each key once, from a stream that runs to the end and stops.
 
-    The checkpoint lies in the shared folder that the session names; the result has one row for each value.
+    The checkpoint lies in the shared folder that the session names; the result has one row for each value, so that the
+    driver may hold it. The state holds every key of the folder, as any row may come again: the folder bounds it.
     """
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajecta-stream-")
+    base = spark.sparkContext.getCheckpointDir() or shared_folder(spark)
     table = spark.read.parquet(path).select(key, by)
     stream = spark.readStream.schema(table.schema)
     if [unquote(f).rsplit("/", 1)[-1] for f in table.inputFiles()[:2]] == [path.rsplit("/", 1)[-1]]:
