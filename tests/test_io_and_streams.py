@@ -140,3 +140,14 @@ def test_windowed_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").count() == 2
+
+
+def test_until_quiet():
+    from trajecta.streaming.twins import until_quiet
+
+    steps = iter([3, 5, 5, 7, 7, 7, 9])
+    assert until_quiet(lambda: next(steps)) == [3, 5, 5, 7, 7, 7]
+    assert until_quiet(lambda: 0, quiet=1) == [0, 0]
+    count = iter(range(100))
+    with pytest.raises(RuntimeError, match="moving"):
+        until_quiet(lambda: next(count), most=5)

@@ -96,7 +96,9 @@ def bootstrap(df: DataFrame, value: str, by: Sequence[str] = (), draws: int = 20
         pdf = pdf.sort_values("v")
         v, c = pdf["v"].to_numpy(), pdf["c"].to_numpy(dtype=np.int64)
         n = int(c.sum())
-        means = np.sort(np.random.default_rng(seed).multinomial(n, c / n, size=draws) @ v / n)
+        # a few draws at a time, so that many distinct values cost memory once
+        rng, some = np.random.default_rng(seed), max(1, 2_000_000 // len(v))
+        means = np.sort(np.concatenate([rng.multinomial(n, c / n, size=min(some, draws - i)) @ v / n for i in range(0, draws, some)]))
         row = {b: [pdf[b].iloc[0]] for b in by}
         return pd.DataFrame(row | {"n": [n], "mean": [float(c @ v / n)], "low": [means[int(0.025 * draws)]], "high": [means[int(0.975 * draws)]]})
 

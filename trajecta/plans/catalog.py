@@ -129,7 +129,7 @@ def _commands(s: SparkSession, d: str) -> DataFrame:
     "classify_commands",
     f"""with {COMMANDS_SQL}, c as (select regexp_replace(regexp_replace(trim(command), '^([A-Z_]+=\\S+\\s+)+', ''), '^cd\\s+\\S+\\s*&&\\s*', '') as c from commands)
     select case when contains(c, 'COMPLETE_TASK_AND_SUBMIT') then 'submit'
-      when regexp_matches(c, '\\bsed -i\\b|\\bgit apply\\b|\\bpatch -p|\\bapply_patch\\b|cat\\s*>|tee\\s+\\S+|>\\s*\\S+\\.(?:py|cfg|txt)|write_text\\(') then 'edit'
+      when regexp_matches(c, '\\bsed -i\\b|\\bgit apply\\b|\\bpatch -p|\\bapply_patch\\b|cat\\s*>|tee\\s+\\S+|>\\s*\\S+\\.(?:py|cfg|txt)|open\\([^)]*[''"][wa]|write_text\\(') then 'edit'
       when regexp_matches(c, '\\bpytest\\b|python -m pytest|\\bunittest\\b|python\\s+\\S*test\\S*\\.py|python\\s+repro|assert ') then 'test' else 'read' end as kind, count(*) as n from c group by 1""",
 )
 def classify_commands(s: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ def feedback_triggers(s: SparkSession, d: str) -> DataFrame:
 
 
 MASKED = "(submission feedback withheld)"
-MASK_SQL = f"case when contains(text, 'guidance round') or contains(text, 'tests FAILED') or contains(text, 'Still failing after several rounds') then '{MASKED}' else text end"
+MASK_SQL = "case when " + " or ".join(f"contains(text, '{x}')" for x in fixed.FEEDBACK_MARKERS) + f" then '{MASKED}' else text end"
 
 
 @REG.add("crutch_mask", f"with {LOG} select instance_id, count(*) as n, count(*) filter (where {MASK_SQL} = '{MASKED}') as masked, sum(length({MASK_SQL}))::bigint as chars from log group by 1")
@@ -364,6 +364,21 @@ def hidden_test_tokens(s: SparkSession, d: str) -> DataFrame:
     return _tokens(s, d).select("instance_id", F.size("tokens").cast("bigint").alias("n"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
 
 
+SEGMENTS_SQL = r"""segs as (select instance_id, flatten(list_transform(string_split(replace(replace(fail_to_pass, '''', ''), '"', ''), ','), lambda x: regexp_extract_all(list_extract(string_split(x, '::'), -1), '\btest_[A-Za-z0-9_]{3,}\b'))) as s from instances where fail_to_pass is not null),
+camels as (select *, list_filter(list_transform(s, lambda x: 'Test' || upper(substr(x, 6, 1)) || substr(x, 7)), lambda x: regexp_full_match(x, 'Test[A-Z][A-Za-z0-9_]{2,}')) as c, list_filter(list_transform(s, lambda x: 'it ' || replace(x, '_', ' ')), lambda x: length(x) >= 15) as t from segs)"""
+
+
+@REG.add("hidden_test_kinds", f"with {SEGMENTS_SQL} select instance_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(s, c), t))), '|') as tokens from camels")
+def hidden_test_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of hidden tests told as functions, as classes and as titles."""
+    names = T.literal_list("fail_to_pass")
+    part = F.transform(names, lambda n: F.element_at(F.split(n, "::"), -1))
+    camel = F.transform(part, lambda n: F.concat(F.lit("x::Test"), F.upper(F.substring(n, 6, 1)), F.substr(n, F.lit(7))))
+    title = F.transform(part, lambda n: F.concat(F.lit("x::it "), F.replace(n, F.lit("_"), F.lit(" "))))
+    tokens = T.test_tokens(F.concat(names, camel, title))
+    return _instances(s, d).filter("fail_to_pass is not null").select("instance_id", F.array_join(F.array_sort(tokens), "|").alias("tokens"))
+
+
 @REG.add(
     "token_leak_hits",
     f"""with {TOKENS_SQL}, t as (select instance_id, unnest(tokens) as tok from tokens)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 from urllib.parse import unquote
 
@@ -27,6 +27,19 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
+def until_quiet(step: Callable[[], int], quiet: int = 2, most: int = 1_000) -> list[int]:
+    """Runs a step, which tells how much is done, until it says the same `quiet` times in a row; gives what it said.
+
+    A stream's step is `run_available` and a count of its sink. After `most` rounds it raises: work that always moves never ends.
+    """
+    said: list[int] = []
+    while len(said) < most:
+        said.append(step())
+        if len(said) > quiet and len(set(said[-quiet - 1 :])) == 1:
+            return said
+    raise RuntimeError(f"still moving after {most} rounds")
+
+
 def running_counts(stream: DataFrame, *by: str) -> DataFrame:
     return stream.groupBy(*by).agg(F.count("*").alias("n"))
 
