@@ -131,6 +131,7 @@ def test_channel_restores(taught):
         ("ｃｌｏｗｎ", "clown"),
         ("mоrоn imbécil", "moron imbecil"),
         ("XXX", "xxx"),
+        ("a brain-dead, non-code read-only x", "a braindead non code read only x"),
         ("you are a l_o_s_e_r", "you are a loser"),
     ):
         assert ch.restore(told) == meant

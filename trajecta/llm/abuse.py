@@ -65,7 +65,7 @@ OTHER_SCRIPTS = "идиот дурак тупиц мраз ублюд заткн
 OFFENCES, TARGETS = ("insult", "base", "low", "lewd", "intimate", "harm", "exclude", "curse", "wits"), ("you", "they", "people", "learned")
 #: The few weights assumed before any label is read; all others start from nothing. Offences count more where they meet somebody
 #: or one another, less where they meet a thing, talk about moderation or oneself.
-PRIOR = {"c:insult": 2.5, "c:lewd": 2.5, "c:other": 6.0, "c:learned": 1.5, "c:wits": 2.0, "b:<harm> <self>": -3.0}
+PRIOR = {"c:insult": 2.5, "c:lewd": 2.5, "c:other": 6.0, "c:learned": 1.5, "c:wits": 3.0, "b:<harm> <self>": -3.0}
 PRIOR |= {"p:" + "+".join(sorted((a, b))): 1.5 for a in OFFENCES for b in TARGETS}
 PRIOR |= {"p:" + "+".join(sorted((a, b))): 0.5 for a in OFFENCES for b in OFFENCES}
 PRIOR |= {"p:" + "+".join(sorted((a, b))): -1.0 for a in OFFENCES for b in ("thing", "about")} | {f"p:{a}+self": -1.0 for a in ("base", "insult", "low")}
@@ -100,6 +100,8 @@ _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060
 _SPACED = re.compile(r"(?<![\w.*-])(?:\w([ .\-_*~]{1,2}))(?:\w\1){1,}\w(?![\w*]|['.-]\w)")
 _ODD = re.compile(r"(?<![\w@$*])(?=[\w@$!|+€*]*[^\W\d_])[\w@$!|+€*]*(?:[0-9@$!|+€*](?=[\w@$!|+€*]*[^\W\d_])|(?<=[^\W\d_])[0-9@$|€*]|([^\W\d_])\1\1)[\w@$|+€*]*")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+#: Compounds (`brain-dead`), one word where the classes know it as one.
+_COMPOUND = re.compile(r"[^\W_]+-[^\W_]+")
 _STOP = re.compile(r"[.!?。!?][\"'”’»)\]*]*$")
 ORDER = 4
 
@@ -244,8 +246,10 @@ class Channel:
         ends = _STOP.search(token) is not None
         if "_" in token:
             token = _EDGES.sub("", _UNDERSCORED.sub(lambda m: self._spelt(m[0].replace("_", "")) or m[0], token))
-        told = _ODD.sub(lambda m: self.token(m[0]), _CODE.sub(self._code, token))
-        return tuple(_WORD.findall(told.lower().replace("’", "'"))), ends
+        told = _ODD.sub(lambda m: self.token(m[0]), _CODE.sub(self._code, token)).lower().replace("’", "'")
+        if "-" in told:
+            told = _COMPOUND.sub(lambda m: one if (one := m[0].replace("-", "")) in _OF else m[0], told)
+        return tuple(_WORD.findall(told)), ends
 
     def tidy(self, text: str) -> str:
         """Without accents, invisible characters, look-alikes, tags and quoted code; spaced letters joined to words."""
